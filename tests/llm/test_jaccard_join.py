@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 
 from tidemark.llm import jaccard_join as J
 
@@ -80,3 +81,14 @@ def test_components_of_chains(spark):
     chain = [(bytes([i]), bytes([i + 1])) for i in range(60) if i != 30]
     got = J.components(spark.createDataFrame(chain, "node binary, peer binary")).collect()
     assert {bytes(r.node)[0]: bytes(r.root)[0] for r in got} == {i: 0 if i <= 30 else 31 for i in range(61) if i not in (0, 31)}
+
+
+def test_minima_agree_as_often_as_similar():
+    r = np.random.default_rng(2)
+    mets = []
+    for _ in range(300):
+        x = r.integers(0, 2**63, 120).astype(np.uint64)
+        a, b = np.sort(x[:110]), np.sort(x[10:])
+        k = J.labels(np.concatenate([a, b]), np.array([0, 110, 220]), 1)
+        mets.append((k[0] == k[1]).mean())
+    assert abs(np.mean(mets) - 100 / 120) < 0.02 and np.std(mets) < 1.3 * np.sqrt(100 / 120 * 20 / 120 / J.TREES)

@@ -26,7 +26,7 @@ from .common import arrow_rows, materialize, mix, shingles, slices, utf8, word_h
 SHINGLE = 5
 #: Similarity of links as a fraction: 4/5.
 ABOVE, BELOW = 4, 5
-TREES, LABEL, RECALL = 16, 8, 0.995
+TREES, LABEL, RECALL = 24, 8, 0.9995
 #: Nodes of a prefix that one task compares at most with one another; larger prefixes are cut into blocks of about half as many.
 BLOCK = 2048
 
