@@ -25,6 +25,9 @@ def frame(spark):
 def test_words_equal_whole_texts(spark, sf):
     w = P.Words(P.default_tokenizer())
     texts = [t for _, t in DOCS] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(100).collect()]
+    r = random.Random(1)
+    alphabet = list("aBcé ÀßÿÆ") + ["'s", "'T", "<|", "|>", "e\u0301", "\u0301", "²", "ª", "½", "--", "...", "|", "$%", "İ", "Σ", "ǅ", "1", " ", "\n", "\u00a0", "中", "ﬁ", "×", "÷", "<|endoftext|>"]
+    texts += ["".join(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(3000)]
     for t in texts:
         assert np.frombuffer(w.ids(t), "<u4").tolist() == truth(t)[:-1]
 

@@ -23,9 +23,11 @@ from .common import arrow_rows, scratch
 WINDOW, END, PAD = 2048, 1, 0
 #: Remainders that a task sorts and packs at once, for the piece list and for the matrices.
 BUFFER, MATRIX_BUFFER = 16384, 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Python's split() also cuts at these, which the tokenizer does not take for white space.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters with punctuation behind them, which the tokenizer takes apart and lower-cases; precomposed, so that normalizing changes nothing.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:|*$%&#()\"]*)")
 
 
 def default_tokenizer() -> str:
@@ -34,37 +36,61 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words(dict):
+def _ids(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class Words:
     """Ids (little-endian uint32 bytes) of white-space separated words.
 
     The tokenizer never joins text across white space, so a text's ids are those of its words in
-    order. The cache is emptied when it is full.
+    order, and in ``word_bpe_49k`` those of a word of letters and punctuation are those of its
+    lower-case letters and its punctuation. Both caches are emptied when full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.splits = _ids(self.tokenizer, "Aé,.") == b"".join(_ids(self.tokenizer, x) for x in ("aé", ",."))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _ids(self.tokenizer, text)
         words = text.split()
         if len(words) > CACHE_WORDS:  # a very long text, a part at a time
             return b"".join(self._some(words[i : i + CACHE_WORDS]) for i in range(0, len(words), CACHE_WORDS))
         return self._some(words)
 
     def _some(self, words: list[str]) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = list(set(words).difference(self))
+        cache = self.cache
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        new = [w for w in set(words) if w not in cache]
         if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+            if len(self.parts) > CACHE_WORDS:
+                self.parts.clear()
+            for w in new:
+                cache[w] = self._word(w)
+        return b"".join(map(cache.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        m = _SIMPLE.fullmatch(word) if self.splits else None
+        return self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"") if m else _ids(self.tokenizer, word)
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if part.isascii() and part.isalpha():  # the same letters for the model, without the way through the pipeline
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+            else:
+                ids = _ids(self.tokenizer, part)
+            self.parts[part] = ids
+        return ids
 
 
 class Rooms:
