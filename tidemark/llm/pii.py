@@ -333,7 +333,10 @@ def _join(spans) -> str:
 def fit(docs: DataFrame) -> Field:
     """Train on at most TRAIN_DOCS documents with a digit or at-sign, those whose ids hash lowest."""
     rows = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20000)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    picked = rows.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").limit(TRAIN_DOCS).select("text").collect()
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    # a bound on h that about twice as many rows stay below: else each partition would send the driver TRAIN_DOCS texts
+    low = min(1.0, 2 * TRAIN_DOCS / max(rows.count(), 1))
+    picked = rows.where(F.col("h") <= min(int((2 * low - 1) * 2**63), 2**63 - 1)).orderBy("h").limit(TRAIN_DOCS).select("text").collect()
     return train([r.text for r in picked])
 
 
