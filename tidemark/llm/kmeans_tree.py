@@ -24,6 +24,9 @@ SAMPLE, BRANCH, LEAF = 65536, 16, 192
 #: Queries whose exact neighbours calibrate the visits, and the recall these must reach.
 CALIBRATION, RECALL = 256, 0.98
 BLOCK = 4096
+#: Sampled vectors every query is held against first. The k-th nearest of these is a floor: what lies
+#: under it in a leaf cannot be among the k nearest of leaves and seeds together, and is not sent on.
+SEEDS = 4096
 
 
 class Tree:
@@ -115,47 +118,66 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products summed in the order of the components, so equal vectors score equally."""
-    out = np.zeros(max(len(q), len(v)))
-    for k in range(q.shape[1]):
-        out = out + q[:, k] * v[:, k]
+def exact_scores(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of q[i] and v[j], summed in the order of the components, so equal vectors score equally."""
+    out = np.zeros(len(i))
+    for a, b in zip(np.ascontiguousarray(q.T), np.ascontiguousarray(v.T), strict=True):
+        out += a[i] * b[j]
     return out
 
 
-def best(qid, q, vid, v, k: int):
-    """Of every query the k largest inner products over ``v``, without its own row: (query, ids, scores)."""
+def best(qid, q, vid, v, k: int, floor: np.ndarray | None = None):
+    """Of every query the k largest inner products over ``v``, without its own row: (row of the query, id, score), nearest first.
+
+    Products under a query's ``floor`` may be left out. All queries are worked on at once: rough
+    products choose pairs, with room for rounding, and only those are scored exactly.
+    """
     rough = q @ v.T
     rough[qid[:, None] == vid[None]] = -np.inf
-    for i in range(len(qid)):
-        r = rough[i]
-        n = min(k, int((r > -np.inf).sum()))
-        if not n:
-            continue
-        floor = np.partition(r, len(r) - n)[len(r) - n]
-        near = np.flatnonzero(r >= floor - 1e-9 * (1 + abs(floor)))
-        s = exact_scores(q[i : i + 1], v[near])
-        top = np.lexsort((vid[near], -s))[:n]
-        yield int(qid[i]), vid[near][top], s[top]
-
-
-FOUND = pa.schema([("query_id", pa.int64()), ("found", pa.list_(pa.struct([("loss", pa.float64()), ("vec_id", pa.int64())])))])
+    floor = np.full(len(q), -np.inf) if floor is None else floor.copy()
+    hit = rough >= floor[:, None]
+    many = np.flatnonzero(hit.sum(1) > k)
+    if len(many):
+        last = np.partition(rough[many], len(v) - k, axis=1)[:, len(v) - k]
+        floor[many] = np.maximum(floor[many], below(last))
+        hit[many] = rough[many] >= floor[many, None]
+    i, j = np.nonzero(hit & (rough > -np.inf))
+    s = exact_scores(q, v, i, j)
+    order = np.lexsort((vid[j], -s, i))
+    i, j, s = i[order], j[order], s[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], vid[j[keep]], s[keep]
+
+
+def below(score: np.ndarray) -> np.ndarray:
+    """A little less than ``score``, by more than the rounding of a rough product."""
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isfinite(score), score - 1e-9 * (1 + np.abs(score)), -np.inf)
+
+
+FOUND = pa.struct([("loss", pa.float64()), ("vec_id", pa.int64())])
 FOUND_SQL = "query_id long, found array<struct<loss:double,vec_id:long>>"
 
 
-def _rows(results):
-    ids, cells = [], []
-    for q, v, s in results:
-        ids.append(q)
-        cells.append([{"loss": -x, "vec_id": y} for x, y in zip(s.tolist(), v.tolist(), strict=True)])
-    return pa.table({"query_id": pa.array(ids, FOUND.field(0).type), "found": pa.array(cells, FOUND.field(1).type)}, schema=FOUND)
+def _cells(n: int, i, vid, s) -> pa.Array:
+    """What each of n queries found, as one list a query."""
+    at = np.searchsorted(i, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(-s), pa.array(vid, pa.int64())], fields=list(FOUND)))
+
+
+def _rows(qid, found) -> pa.RecordBatch:
+    """(query_id, found) of the queries that found any."""
+    i, vid, s = found
+    some, at = np.unique(i, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(qid[some], pa.int64()), _cells(len(some), at, vid, s)], names=["query_id", "found"])
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest of what each query's blocks found."""
-    every = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    """The k nearest of what each query's blocks found; a vector may be found by a block and among the seeds."""
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, 2 * k)
+    every = found.groupBy("query_id").agg(F.slice(F.array_distinct(near), 1, k).alias("found"))
     rows = every.select("query_id", F.posexplode("found").alias("pos", "x"))
-    return rows.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.loss")).alias("score"))
+    return rows.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (F.lit(0.0) - F.col("x.loss")).alias("score"))
 
 
 def brute_force(rows: DataFrame, queries: list, k: int) -> DataFrame:
@@ -168,7 +190,7 @@ def brute_force(rows: DataFrame, queries: list, k: int) -> DataFrame:
         qid, q = sent.value
         for b in batches:
             if b.num_rows:
-                yield from _rows(best(qid, q, b.column("vec_id").to_numpy(), _matrix(b.column("embedding")), k)).to_batches()
+                yield _rows(qid, best(qid, q, b.column("vec_id").to_numpy(), _matrix(b.column("embedding")), k))
 
     return _merge(rows.mapInArrow(f, FOUND_SQL), k)
 
@@ -184,10 +206,12 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     n = rows.count()
     part = min(1.0, 1.2 * SAMPLE / max(n, 1))
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1
-    sample = rows.where(draw).select("embedding").limit(SAMPLE).toArrow()
+    sample = rows.where(draw).limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return brute_force(rows, [], k)
-    tree = spark.sparkContext.broadcast(Tree(_matrix(sample.column(0))))  # at most 2 SAMPLE / LEAF * BRANCH centres
+    drawn = _matrix(sample.column("embedding"))
+    tree = spark.sparkContext.broadcast(Tree(drawn))  # at most 2 SAMPLE / LEAF * BRANCH centres
+    seeds = spark.sparkContext.broadcast((sample.column("vec_id").to_numpy()[:SEEDS], drawn[:SEEDS]))
     dealt = rows.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.value.assign(_matrix(b.column("embedding"))) if b.num_rows else [], pa.int64())], names=["vec_id", "embedding", "leaf"]) for b in it), f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, leaf long")
     dealt = materialize(dealt, "ann-leaves")
     sizes = {r.leaf: r.n for r in dealt.groupBy("leaf").agg(F.count("vec_id").alias("n")).collect()}  # a row for each leaf
@@ -198,7 +222,9 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     def route(batches):
         size, most = walk.value
         for b in batches:
-            q, leaves = _matrix(b.column("embedding")) if b.num_rows else [], []
+            if not b.num_rows:
+                continue
+            qid, q, leaves = b.column("vec_id").to_numpy(), _matrix(b.column("embedding")), []
             for x in q:
                 seen = [0, 0]
 
@@ -208,11 +234,17 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                     return seen[0] >= most and seen[1] > k
 
                 leaves.append([x for x in tree.value.order(x, enough) if x in size])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["vec_id", "embedding", "leaves"])
+            parts = [best(qid[i : i + 256], q[i : i + 256], *seeds.value, k) for i in range(0, len(q), 256)]
+            i, vid, s = (np.concatenate(x) for x in zip(*((p[0] + 256 * n, p[1], p[2]) for n, p in enumerate(parts)), strict=True))
+            at = np.searchsorted(i, np.arange(len(q) + 1))
+            floor = np.full(len(q), -np.inf)
+            full = np.flatnonzero(np.diff(at) == k)
+            floor[full] = below(s[at[full] + k - 1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves, pa.list_(pa.int64())), pa.array(floor), _cells(len(q), i, vid, s)], names=["vec_id", "embedding", "leaves", "floor", "found"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    routed = queries.mapInArrow(route, f"vec_id long, embedding {kind}, leaves array<long>").select("vec_id", "embedding", F.explode("leaves").alias("leaf"))
-    routed = materialize(routed, "ann-routed")
+    walked = materialize(queries.mapInArrow(route, f"vec_id long, embedding {kind}, leaves array<long>, floor double, found array<struct<loss:double,vec_id:long>>"), "ann-routed")
+    routed = walked.select("vec_id", "embedding", "floor", F.explode("leaves").alias("leaf"))
     asked = {r.leaf: r.n for r in routed.groupBy("leaf").agg(F.count("vec_id").alias("n")).collect()}
     # blocks of a leaf: its vectors by its queries; each row goes to every block of the other side
     cut = spark.createDataFrame([(x, -(-sizes[x] // BLOCK), -(-asked[x] // BLOCK)) for x in asked], "leaf long, vb int, qb int")
@@ -223,14 +255,15 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return _rows([])
+            return pa.table({"query_id": pa.array([], pa.int64()), "found": pa.array([], pa.list_(FOUND))})
         vid, v = a.column("vec_id").to_numpy(), _matrix(a.column("embedding"))
-        qid, q = b.column("vec_id").to_numpy(), _matrix(b.column("embedding"))
-        return _rows(x for i in range(0, len(qid), 512) for x in best(qid[i : i + 512], q[i : i + 512], vid, v, k))
+        qid, q, floor = b.column("vec_id").to_numpy(), _matrix(b.column("embedding")), b.column("floor").to_numpy()
+        parts = (slice(i, i + 256) for i in range(0, len(qid), 256))
+        return pa.Table.from_batches([_rows(qid[p], best(qid[p], q[p], vid, v, k, floor[p])) for p in parts])
 
     group = ["leaf", "v", "q"]
-    found = left.select(*group, "vec_id", "embedding").groupBy(*group).cogroup(right.select(*group, "vec_id", "embedding").groupBy(*group)).applyInArrow(score, FOUND_SQL)
-    return _merge(found, k)
+    found = left.select(*group, "vec_id", "embedding").groupBy(*group).cogroup(right.select(*group, "vec_id", "embedding", "floor").groupBy(*group)).applyInArrow(score, FOUND_SQL)
+    return _merge(found.unionByName(walked.select(F.col("vec_id").alias("query_id"), "found")), k)
 
 
 def _calibrate(rows, dealt, queries, tree: Tree, k: int) -> int:
