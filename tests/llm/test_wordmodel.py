@@ -1,0 +1,88 @@
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tidemark.llm import quality as Q
+from tidemark.llm import wordmodel as W
+
+TEXTS = ["the cat sat on the mat.", "the dog  sat on the log, the end", "a cat and a dog", "Élan! the théâtre 42", "on and on and on", "the cat sat on a dog"]
+PROBE = [*TEXTS, "unseen words on the mat", "on", " \n ", "dog dog dog dog the cat sat"]
+
+
+def plain(texts, spell):
+    """-log2 of a pair's probability, straight from the definition."""
+    c = Counter(p for t in texts for w in [["<", *t.lower().split(), ">"]] for p in zip(w, w[1:]))
+    k = Counter(w for _, w in c)
+
+    def discounts(values):
+        n = Counter(values)
+        n1, n2, n3, n4 = (n[i] for i in (1, 2, 3, 4))
+        if not n1 or not n2:
+            return 0.5, 1.0, 1.5
+        y = n1 / (n1 + 2 * n2)
+        return tuple(min(max(x, Q.LEAST_DISCOUNT), m) for m, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5), 1))
+
+    d2, d1 = discounts(c.values()), discounts(k.values())
+    cut = lambda d, v: d[min(v, 3) - 1] if v else 0.0
+    after = defaultdict(list)
+    for (u, _), v in c.items():
+        after[u].append(v)
+    n = sum(k.values())
+
+    def cost(u, w):
+        low = (k[w] - cut(d1, k[w]) + sum(cut(d1, v) for v in k.values()) * 2.0 ** -spell(w)) / n
+        if u in after:
+            s = after[u]
+            low = (c[u, w] - cut(d2, c[u, w]) + sum(cut(d2, v) for v in s) * low) / sum(s)
+        return -math.log2(low)
+
+    return cost
+
+
+def test_cost_equals_definition(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3)
+    table = Q.train(df)
+
+    def spell(w):
+        if w == ">":
+            return W.END_BITS
+        s = [0] * 3 + [int(Q._MAP[b]) for b in w.encode()] + [0]
+        at = lambda i: int(np.dot(s[i - 3 : i + 1], [Q.SYMBOLS**3, Q.SYMBOLS**2, Q.SYMBOLS, 1]))
+        members = sum(math.log2((Q._MAP == x).sum()) for x in s[3:-1])
+        return float(sum(table.cost[at(i)] for i in range(3, len(s)))) + members
+
+    cost = plain(TEXTS, spell)
+    words, rest = W.corrections(W.counts(df, table))
+    docs = spark.createDataFrame([(i, "x", t) for i, t in enumerate(PROBE)] + [(0, "x", PROBE[0])], "doc_id long, lang string, text string").repartition(3)
+    got = Q.score(docs, table).join(W.score(docs, words), "uid", "left").collect()
+    assert len(got) == len(PROBE) + 1
+    for r in got:
+        w = ["<", *PROBE[r.doc_id].lower().split(), ">"]
+        assert r.spelled + rest * r.n_words + r.added == pytest.approx(sum(cost(*p) for p in zip(w, w[1:])), rel=1e-4)
+    assert next(r.repeats for r in got if r.doc_id == len(PROBE) - 1) == pytest.approx(2 / 8)
+
+
+def kind(text):
+    w = text.split()
+    # the first line of junk may be ordinary
+    if "|" in w:
+        return "table"
+    if sum(x[-1] in "$&*#%" for x in w) > len(w) / 3:
+        return "symbols"
+    if sum(x.endswith("!!") for x in w) > len(w) / 3:
+        return "shouting"
+    return "repeated" if len(set(w)) < 0.4 * len(w) else "other"
+
+
+def test_each_kind_of_junk_is_rejected(spark):
+    d = "/root/testdata/sf0.1"
+    kept = {r.doc_id: r.keep for r in Q.op5_quality(spark, d).select("doc_id", "keep").collect()}
+    bad = spark.read.parquet(f"{d}/labels.parquet").where("quality = 0").select("doc_id")
+    n = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{d}/documents.parquet").join(bad, "doc_id").collect():
+        n[kind(r.text)][int(kept[r.doc_id])] += 1
+    print({k: tuple(v) for k, v in n.items()})
+    for k in ("table", "symbols", "shouting", "repeated"):
+        assert sum(n[k]) > 30 and n[k][0] / sum(n[k]) > 0.9, (k, n[k])

@@ -1,13 +1,17 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-The model runs over characters: lower-case letters of the Latin alphabet, digits as one symbol, every
-byte of other letters, and classes of punctuation and white space, ``SYMBOLS`` in all. Trusted text
-is that of documents labelled good. Each task counts the n-grams of the trusted texts it reads, the
-counts are summed by a shuffle, and the model is made of joins of sharded count tables: every order's
-counts are joined to the counts of their context and to the interpolated probabilities of the order
-below. The result has at most SYMBOLS ** ORDER rows whatever the corpus, so it may be broadcast; the
-size is checked. Documents are scored where they lie. A document is rejected if its perplexity lies
-above a quantile of the trusted documents' perplexities in its language.
+"""Quality by perplexity under interpolated modified Kneser-Ney models of trusted text, and by repetition.
+
+Trusted text is that of documents labelled good. Two models are made of it. One runs over word pairs
+(``wordmodel``): its count tables grow with the trusted text and are joined to what documents hold.
+The other runs over characters and gives the word model the spelling of words: lower-case letters of
+the Latin alphabet, digits as one symbol, every byte of other letters, and classes of punctuation and
+white space, ``SYMBOLS`` in all. Its counts are summed by a shuffle and joined to the counts of their
+context and to the probabilities of the order below; it has at most SYMBOLS ** ORDER rows whatever the
+corpus, so it may be broadcast; the size is checked.
+
+A word said over and over can be likely under any such model, so the share of a document's word pairs
+that it held before is a third measure. A document is rejected if one of the three lies above a
+quantile of the trusted documents' in its language. The word model takes a trusted document's cost
+without what only that document holds, so that the quantile holds for documents not counted, too.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import wordmodel
 from .common import arrow_rows, materialize, slices, utf8
 
 ORDER, SYMBOLS = 4, 48
 #: Quantile of trusted perplexities, by language, and the factor above it from which documents are rejected.
 QUANTILE, SLACK = 0.98, 1.1
+#: What the share of repeated pairs may lie above its quantile, besides the factor.
+REPEAT_SLACK = 0.05
 #: Languages with fewer trusted documents are held to the quantile of all.
 LEAST_TRUSTED = 20
 #: Documents with fewer symbols are judged with that many more of average perplexity.
@@ -164,8 +171,15 @@ def train(trusted: DataFrame) -> Table:
 
 def _perplexity(batches, table: Table):
     for batch in batches:
-        total, length = [], []
+        total, length, spelled, words, again = [], [], [], [], []
+        raw, begin = utf8(batch.column("text"))
         for i, j, s, at in _batches(batch):
+            row, _, _, pair, b = wordmodel.pairs(raw[begin[i] : begin[j]], begin[i : j + 1] - begin[i], table.cost)
+            spelled.append(np.bincount(row, b, j - i))
+            words.append(np.bincount(row, minlength=j - i))
+            order = np.lexsort((pair, row))
+            same = (pair[order][1:] == pair[order][:-1]) & (row[1:] == row[:-1])  # row[order] is row
+            again.append(np.bincount(row[1:][same], minlength=j - i) / words[-1])
             lens = np.diff(at) - (ORDER - 1)
             if lens.sum():
                 keep = np.arange(lens.sum()) + np.repeat((ORDER - 1) * np.arange(j - i), lens)
@@ -177,16 +191,17 @@ def _perplexity(batches, table: Table):
             length.append(lens)
         bits = pa.array(np.concatenate(total) if total else [], pa.float64())
         size = pa.array(np.concatenate(length) if length else [], pa.int64())
+        more = [pa.array(np.concatenate(x) if x else [], t) for x, t in ((spelled, pa.float64()), (words, pa.int64()), (again, pa.float64()))]
         keep = [k for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), bits, size], names=[*(batch.schema.names[k] for k in keep), "bits", "n_symbols"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), bits, size, *more], names=[*(batch.schema.names[k] for k in keep), "bits", "n_symbols", "spelled", "n_words", "repeats"])
 
 
 def score(docs: DataFrame, table: Table) -> DataFrame:
-    """doc_id, lang, bits and n_symbols of each row."""
+    """doc_id, lang, uid, bits and n_symbols of each row; bits of its words' spelling, their number with the end, and the share of pairs held before."""
     arrow_rows(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.lower(F.col("text").cast("string")).alias("text"))
-    return rows.mapInArrow(lambda b: _perplexity(b, sent.value), "doc_id long, lang string, bits double, n_symbols long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), wordmodel.uid().alias("uid"), F.lower(F.col("text").cast("string")).alias("text"))
+    return rows.mapInArrow(lambda b: _perplexity(b, sent.value), "doc_id long, lang string, uid long, bits double, n_symbols long, spelled double, n_words long, repeats double")
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -196,30 +211,39 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold and keep of every row of ``docs``.
+    """doc_id, lang, n_symbols, perplexity, word_perplexity and repeats with their thresholds, and keep of every row of ``docs``.
 
-    Perplexity is per symbol, the text being continued by PRIOR symbols of the trusted documents'
-    average cost, so that very short texts are not judged on a few symbols. Null and empty texts
-    have that average and stay. Without trusted documents nothing is rejected. A null language is
-    a language of its own. Rows that repeat a doc_id are scored one by one.
+    Both perplexities are per symbol, the text being continued by PRIOR symbols of the trusted
+    documents' average cost, so that very short texts are not judged on a few symbols. Null and empty
+    texts have that average and stay. Without trusted documents nothing is rejected. A null language
+    is a language of its own. Rows that repeat a doc_id are scored one by one.
     """
     good = good_ids(labels)
     key = docs.doc_id.cast("long")
     # texts are dealt out by doc_id at every size: the ids grow with the labels, so they are never broadcast
     texts = docs.select(key.alias("doc_id"), "text").where("doc_id IS NOT NULL AND text <> ''")
-    table = train(texts.join(good.hint("shuffle_hash"), F.col("doc_id") == good.good, "left_semi"))
-    scored = materialize(score(docs, table), "lm-scores")
+    trusted = materialize(texts.join(good.hint("shuffle_hash"), F.col("doc_id") == good.good, "left_semi").select("text"), "lm-trusted")
+    table = train(trusted)
+    words, rest = wordmodel.corrections(materialize(wordmodel.counts(trusted, table), "lm-pairs"))
+    scored = score(docs, table).join(good.hint("shuffle_hash"), F.col("doc_id") == good.good, "left")
+    scored = scored.join(wordmodel.score(docs, words).hint("shuffle_hash"), "uid", "left")
+    added = F.coalesce(F.when(F.col("good").isNull(), F.col("added")).otherwise(F.col("other")), F.lit(0.0))
+    scored = scored.withColumn("word_bits", F.when(F.col("n_symbols") > 0, F.col("spelled") + rest * F.col("n_words") + added).otherwise(0.0))
     # only ids and scores from here on
-    known = materialize(scored.where("n_symbols > 0").join(good.hint("shuffle_hash"), F.col("doc_id") == good.good, "left_semi"), "lm-known")
-    mean = known.agg(F.sum("bits") / F.sum("n_symbols")).first()[0]
-    prior = F.lit(float(mean if mean is not None else 0.0))
-    rate = (F.col("bits") + PRIOR * prior) / (F.col("n_symbols") + PRIOR)
-    cut = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(rate, QUANTILE, 10000).alias("q"))
+    scored = materialize(scored.select("doc_id", "lang", "n_symbols", "bits", "word_bits", "repeats", F.col("good").isNotNull().alias("known")), "lm-scores")
+    known = scored.where("known AND n_symbols > 0")
+    mean = known.agg(*(F.sum(c) / F.sum("n_symbols") for c in ("bits", "word_bits"))).first()
+    rate = lambda c, m: (F.col(c) + PRIOR * F.lit(float(m or 0.0))) / (F.col("n_symbols") + PRIOR)
+    measure = {"rate": rate("bits", mean[0]), "word_rate": rate("word_bits", mean[1]), "again": F.coalesce("repeats", F.lit(0.0))}
+    cut = lambda df: df.agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, QUANTILE, 10000).alias(f"q_{c}") for c, x in measure.items()))
     every = cut(known).first()
-    by = cut(known.groupBy("lang")).where(F.col("n") >= LEAST_TRUSTED).select(F.col("lang").alias("_lang"), "q")
-    limit = F.coalesce(F.col("q"), F.lit(float(every.q) if every.n else float("inf"))) + float(np.log2(SLACK))
+    by = cut(known.groupBy("lang")).where(F.col("n") >= LEAST_TRUSTED).withColumnRenamed("lang", "_lang").drop("n")
+    top = lambda c: F.coalesce(F.col(f"q_{c}"), F.lit(float(every[f"q_{c}"]) if every.n else float("inf")))
+    limit = {c: top(c) + float(np.log2(SLACK)) for c in ("rate", "word_rate")} | {"again": top("again") * SLACK + REPEAT_SLACK}
     joined = scored.join(by, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    return joined.select("doc_id", "lang", "n_symbols", F.pow(F.lit(2.0), rate).alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), (rate <= limit).alias("keep"))
+    two = lambda x: F.pow(F.lit(2.0), x)
+    keep = (measure["rate"] <= limit["rate"]) & (measure["word_rate"] <= limit["word_rate"]) & (measure["again"] <= limit["again"])
+    return joined.select("doc_id", "lang", "n_symbols", two(measure["rate"]).alias("perplexity"), two(limit["rate"]).alias("threshold"), two(measure["word_rate"]).alias("word_perplexity"), two(limit["word_rate"]).alias("word_threshold"), measure["again"].alias("repeats"), limit["again"].alias("repeats_threshold"), keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,0 +1,152 @@
+"""Interpolated modified Kneser-Ney model of word pairs, in count tables that grow with the trusted text.
+
+Words are lower-cased, split at white space and known by 64-bit hashes. Every pair of trusted text is
+counted, the ends of texts too. Below pairs lie continuation counts of words, below these the
+spelling of a word under the character model, so that no word lacks a probability. A text's cost is
+that of unseen words, which its task knows, and a correction for each distinct word and pair:
+
+    -log2 p(w | u) = spelling(w) + rest + word(u, w) + pair(u, w)
+
+where a word's correction holds its own cost and that of backing off from it. Corrections lie in one
+table by key. Texts send the distinct keys they hold with their counts, keys are joined to the table
+by a shuffle, and corrections are summed by text; nothing is broadcast but the character model.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import quality as q
+from .common import _SPACE, arrow_rows, materialize, mix, slices, utf8, word_hashes
+
+#: Hashes of what precedes and what follows a text.
+_START, _END = np.uint64(0x5A17C0DE5A17C0DE), np.uint64(0xE4D0F7E87E4D0F7E)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of spelling of the end of a text.
+END_BITS = 8.0
+
+
+def spelling(data: np.ndarray, offsets: np.ndarray, cost: np.ndarray | None) -> np.ndarray:
+    """Bits of each word of the rows, white space before and after it, under the character model ``cost``."""
+    solid = ~_SPACE[data]
+    start = solid.copy()
+    start[1:] &= ~solid[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    start[first] = solid[first]
+    begins = np.flatnonzero(start)
+    if not len(begins):
+        return np.zeros(0)
+    word = (np.cumsum(start) - 1)[solid]
+    inside = np.arange(int(solid.sum()))
+    s = np.zeros(len(inside) + q.ORDER * (len(begins) + 1), np.int32)
+    at = inside + q.ORDER * (word + 1)
+    s[at] = q._MAP[data[solid]]
+    bits = cost[q.grams(s, q.ORDER)].astype(np.float64)  # of the symbol ORDER - 1 places on
+    members = np.log2(np.bincount(q._MAP, minlength=q.SYMBOLS).clip(1))
+    own = bits[at - (q.ORDER - 1)] + members[s[at]]
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    last = np.r_[first[1:], len(word)] - 1
+    return np.add.reduceat(own, first) + bits[at[last] + 1 - (q.ORDER - 1)]
+
+
+def pairs(data: np.ndarray, offsets: np.ndarray, cost: np.ndarray | None):
+    """Of each pair of neighbours, ends included: row, first word, second word, pair, bits of the second word's spelling."""
+    h, at = word_hashes(data, offsets)
+    n = np.diff(at)
+    rows = len(n)
+    bits = spelling(data, offsets, cost) if len(h) and cost is not None else np.zeros(len(h))
+    row = np.repeat(np.arange(rows), n + 1)
+    ends = np.cumsum(n + 1) - 1
+    inner = np.ones(len(row), bool)
+    inner[ends] = False
+    w, b = np.full(len(row), _END), np.full(len(row), END_BITS)
+    w[inner], b[inner] = h, bits
+    u = np.empty(len(row), np.uint64)
+    u[1:] = w[:-1]
+    u[ends - n] = _START
+    return row, u, w, mix(u * _ODD + w), b
+
+
+def _columns(names: list[str], *arrays) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64) if a.dtype == np.uint64 else a) for a in arrays], names=names)
+
+
+def counts(trusted: DataFrame, table) -> DataFrame:
+    """(u, w, pair, bits, c): how often each pair of words occurs in the texts of ``trusted``."""
+    arrow_rows(trusted.sparkSession)
+    sent = trusted.sparkSession.sparkContext.broadcast(table)
+
+    def f(batches):
+        for batch in batches:
+            raw, at = utf8(batch.column("text"))
+            for i, j in slices(at, 4 << 20):
+                _, u, w, k, b = pairs(raw[at[i] : at[j]], at[i : j + 1] - at[i], sent.value.cost)
+                _, first, c = np.unique(k, return_index=True, return_counts=True)
+                yield _columns(["u", "w", "pair", "bits", "c"], u[first], w[first], k[first], b[first], c)
+
+    rows = trusted.select(F.lower(F.col("text").cast("string")).alias("text"))
+    return rows.mapInArrow(f, "u long, w long, pair long, bits double, c long").groupBy("pair").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.first("bits").alias("bits"), F.sum("c").alias("c"))
+
+
+def _cut(c: str, d) -> F.Column:
+    return F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
+
+
+def corrections(seen: DataFrame) -> tuple[DataFrame, float]:
+    """(key, v, c) of every word and pair, c its plain count, and the bits of leaving the words seen (``rest``)."""
+    second = seen.groupBy("w").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("c"), F.first("bits").alias("bits"))
+    second = materialize(second, "lm-words")
+    d2, d1 = q._discounts(seen.select(F.col("pair").alias("gram"), "c")), q._discounts(second.select(F.col("w").alias("gram"), F.col("kinds").alias("c")))
+    total = second.agg(F.sum("kinds").alias("n"), F.sum(_cut("kinds", d1)).alias("left")).first()
+    if not total.n:
+        return seen.select(F.col("pair").alias("key"), F.lit(0.0).alias("v"), "c"), 0.0
+    rest = -float(np.log2(total.left / total.n))
+    p1 = (F.col("kinds") - _cut("kinds", d1) + F.lit(float(total.left)) * F.pow(F.lit(2.0), -F.col("bits"))) / float(total.n)
+    first = seen.groupBy("u").agg(F.sum("c").alias("total"), F.sum(_cut("c", d2)).alias("left"))
+    words = second.select("w", "c", "bits", p1.alias("p1")).join(first, F.col("w") == F.col("u"), "full")
+    back = -F.log2(F.col("left") / F.col("total"))
+    own = -F.log2("p1") - F.col("bits") - rest
+    words = words.select(F.coalesce("w", "u").alias("key"), "p1", "left", "total", (F.coalesce(own, F.lit(0.0)) + F.coalesce(back, F.lit(0.0))).alias("v"), F.coalesce("c", "total").alias("c"))
+    words = materialize(words, "lm-unigrams")
+    joined = seen.select("u", "w", "pair", "c").join(words.select(F.col("key").alias("u"), "left", "total").hint("merge"), "u")
+    joined = joined.join(words.select(F.col("key").alias("w"), "p1").hint("merge"), "w")
+    lower = F.col("left") / F.col("total") * F.col("p1")
+    v = F.log2(lower) - F.log2((F.col("c") - _cut("c", d2)) / F.col("total") + lower)
+    return materialize(words.select("key", "v", "c").unionByName(joined.select(F.col("pair").alias("key"), v.alias("v"), "c")), "lm-corrections"), rest
+
+
+def uid() -> F.Column:
+    """Of a row of documents; rows alike in id and text share it, and their cost."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def requests(docs: DataFrame) -> DataFrame:
+    """(uid, key, n): the distinct words and pairs of each text and how often it holds them."""
+
+    def f(batches):
+        for batch in batches:
+            ids = batch.column("uid").to_numpy()
+            raw, at = utf8(batch.column("text"))
+            for i, j in slices(at, 2 << 20):
+                row, u, w, k, _ = pairs(raw[at[i] : at[j]], at[i : j + 1] - at[i], None)
+                begins = u == _START
+                key, owner = np.r_[k, w, u[begins]], np.r_[row, row, row[begins]]
+                order = np.lexsort((key, owner))
+                key, owner = key[order], owner[order]
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+                n = np.diff(np.r_[new, len(key)]).astype(np.int32)
+                yield _columns(["uid", "key", "n"], ids[i:j][owner[new]], key[new], n)
+
+    arrow_rows(docs.sparkSession)
+    rows = docs.where("text <> ''").select(uid().alias("uid"), F.lower(F.col("text").cast("string")).alias("text"))
+    return rows.mapInArrow(f, "uid long, key long, n int")
+
+
+def score(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(uid, added, other) of every text: its corrections, and those without what no other trusted text holds."""
+    met = requests(docs).join(table.hint("merge"), "key")
+    copies = F.sum(F.when(F.col("key") == int(_START.view(np.int64)), F.col("n")))  # every text begins once
+    return met.groupBy("uid").agg((F.sum(F.col("n") * F.col("v")) / copies).alias("added"), (F.sum(F.when(F.col("c") > F.col("n"), F.col("n") * F.col("v")).otherwise(0.0)) / copies).alias("other"))
