@@ -1,11 +1,11 @@
 """Personal data: fixed base patterns, and a semi-Markov conditional random field that adds spans.
 
-The field labels the tokens around digits and at-signs. A segment of at most ``MAX_TOKENS`` tokens is
+The field labels the tokens around digits and at-signs, the latter also spelled out. A segment of at most ``MAX_TOKENS`` tokens is
 scored as a whole (its shape, digit count, check sum, the characters beside it) for each kind, other
 tokens stand alone, and labels of neighbouring segments interact; dynamic programming finds the
 best segmentation. It is trained by gradient steps on the log-likelihood, on a bounded sample of
 documents whose base spans serve as labels, together with rewritten forms of these (telephone
-numbers without their prefix, spelled out at-signs). Decoded spans that touch no base span are added.
+numbers without their prefix, spelled out at-signs and dots, addresses without digits). Decoded spans that touch no base span are added.
 """
 
 from __future__ import annotations
@@ -35,8 +35,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-_SIGN = re.compile(r"[0-9@]")
-_ISLAND = re.compile(r"[^\s]*[0-9@][^\s]*(?: [^\s]*[0-9@][^\s]*)*")
+#: At-signs and dots spelled out, with the spaces that part them from a name; bare words only before what may be a host (no article or the like).
+_AT = r" ?[(\[]at[)\]] ?| at (?!(?:the|an?|this|that|these|those|each|every|his|her|its|my|your|our|their|one|no) )(?=[a-z0-9-]++(?:\.[a-z0-9-]| dot [a-z0-9-]| ?[(\[]dot[)\]]))"
+_DOT = r" ?[(\[]dot[)\]] ?| dot (?=[a-z0-9-])"
+_SIGN = re.compile(f"[0-9@]|{_AT}|{_DOT}", re.I)
+_SPELLED_AT, _SPELLED_DOT = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+_WORD_END = re.compile(r"[^\s]*+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 
 
@@ -112,6 +116,13 @@ def _side(c: str) -> str:
     return "_" if not c or c.isspace() else "d" if c in "0123456789" else "a" if c.isalpha() else c
 
 
+def _spelled(s: str) -> str:
+    """Spelled out at-signs, up to two, whether a host follows the first, and whether it spells a dot."""
+    at = list(_SPELLED_AT.finditer(s))
+    host = s[at[0].end() :] if at else ""
+    return f"{min(len(at), 2)}{'.' in host}{bool(_SPELLED_DOT.search(host))}"
+
+
 def segment_features(text: str, i: int, j: int) -> list[str]:
     s = text[i:j]
     digits = re.sub("[^0-9]", "", s)
@@ -127,6 +138,7 @@ def segment_features(text: str, i: int, j: int) -> list[str]:
         f"luhn={len(digits) in (16, 17, 18, 19) and luhn(digits)}",
         f"bytes={byte}",
         f"at={s.count('@')}{'.' in s.partition('@')[2]}",
+        f"spelled={_spelled(s)}",
         f"plus={s[0] == '+'}",
         f"letters={any(c.isalpha() for c in s)}",
         f"left={_side(text[i - 1 : i])}",
@@ -136,8 +148,21 @@ def segment_features(text: str, i: int, j: int) -> list[str]:
 
 
 def islands(text: str):
-    """(start, end) of stretches without white space that hold a digit or at-sign, and single spaces between such."""
-    return [(m.start(), m.end()) for m in _ISLAND.finditer(text)] if _SIGN.search(text) else []
+    """(start, end) of stretches without white space that hold a digit or at-sign or stand beside a spelled out one, and single spaces between such."""
+    out: list[tuple[int, int]] = []
+    done = 0
+    for m in _SIGN.finditer(text):
+        if m.end() <= done or (m[0].lower() == " dot " and m.start() != done):
+            continue  # a bare "dot" goes on with an island, but opens none
+        lo, hi = m.start(), _WORD_END.match(text, m.end()).end()
+        while lo > done and not text[lo - 1].isspace():
+            lo -= 1
+        if out and (lo <= done or (lo == done + 1 and text[done] == " ")):
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+        done = hi
+    return out
 
 
 class Field:
@@ -151,7 +176,14 @@ class Field:
         """Token boundaries of an island and, by their last token, its candidate segments (first, features)."""
         cut = [lo] + [m.end() for m in _TOKEN.finditer(text, lo, hi)]
         n = len(cut) - 1
-        sign = [bool(_SIGN.search(text, cut[k], cut[k + 1])) for k in range(n)]
+        sign, k = [False] * n, 0
+        for m in _SIGN.finditer(text, lo, hi):
+            while cut[k + 1] <= m.start():
+                k += 1
+            for x in range(k, n):
+                if cut[x] >= m.end():
+                    break
+                sign[x] = True
         ends = []
         for j in range(1, n + 1):
             segs, seen = [], False
@@ -272,13 +304,21 @@ def _logsum(values: list[float]) -> float:
 
 
 def rewritten(text: str, gold: list[tuple[str, int, int]], rng) -> tuple[str, list]:
-    """An island with one form changed: a telephone number without its prefix, a spelled out at-sign."""
+    """An island with one form changed: a telephone number without its prefix, a spelled out at-sign, with or without digits and dots."""
     kind, a, b = gold[0]
     s = text[a:b]
     if kind == "phone" and "(" in s:
         s = s[s.index("(") :] if rng.random() < 0.5 else s[s.index("(") + 1 :].replace(") ", "-")
     elif kind == "email":
-        s = s.replace("@", rng.choice(["(at)", "[at]"]))
+        name, _, host = s.partition("@")
+        if rng.random() < 0.5:
+            name, host = (re.sub(r"[._%+-]?[0-9]+", "", x) for x in (name, host))
+        if not name[:1].isalnum() or not host[:1].isalnum() or not host[-1].isalnum():
+            name, _, host = s.partition("@")
+        at = rng.choice(["(at)", "[at]", " (at) ", " [at] ", " at "])
+        if rng.random() < 0.3:
+            host = host.replace(".", " dot " if at == " at " else at.replace("at", "dot"))
+        s = name + at + host
     else:
         return text, gold
     return text[:a] + s + text[b:], [(kind, a, a + len(s))]
