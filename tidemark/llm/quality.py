@@ -46,7 +46,7 @@ PRIOR = 40
 #: nothing to the order below would give an n-gram never seen the probability zero.
 LEAST_DISCOUNT = 0.05
 #: Bytes and rows of a batch, and bytes that are worked on at once.
-BATCH_BYTES, BATCH_ROWS, CHUNK_BYTES = 32 << 20, 1 << 16, 2 << 20
+BATCH_BYTES, BATCH_ROWS, CHUNK_BYTES = 16 << 20, 1 << 16, 1 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD_GRAMS = 1 << 21
 
@@ -296,21 +296,32 @@ def costs(top: np.ndarray, key: np.ndarray, p: np.ndarray, gamma: np.ndarray) ->
 
 
 class _Lookup:
-    """Places of n-grams in a sorted array: a table by hash first, a search for what that table lost."""
+    """Costs of n-grams of the highest order: of those in the table by place (a table by hash first, a search for what that lost), of others as they come."""
 
-    def __init__(self, top: np.ndarray, bits: int = 21):
-        self.top, self.shift = top, np.uint64(64 - bits)
+    def __init__(self, key: np.ndarray, p: np.ndarray, gamma: np.ndarray, bits: int = 21):
+        self.told, self.shift = (key, p, gamma), np.uint64(64 - bits)
+        self.top = key[key > _MASKS[ORDER - 1]]
+        self.cost = costs(self.top, *self.told)
         self.table = np.zeros(1 << bits, np.int32)
-        self.table[self._slot(top)] = np.arange(len(top))
+        self.table[self._slot(self.top)] = np.arange(len(self.top))
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
-    def __call__(self, g: np.ndarray) -> np.ndarray:
-        k = self.table[self._slot(g)]
-        lost = np.flatnonzero(self.top[k] != g)
-        k[lost] = np.searchsorted(self.top, g[lost])
-        return k
+    def __call__(self, g: np.ndarray) -> list[np.ndarray]:
+        out = [np.empty(len(g)), np.empty(len(g))]
+        lost = np.arange(len(g))
+        if len(self.top):
+            k = self.table[self._slot(g)]
+            lost = np.flatnonzero(self.top[k] != g)
+            k[lost] = np.minimum(np.searchsorted(self.top, g[lost]), len(self.top) - 1)
+            lost = lost[self.top[k[lost]] != g[lost]]
+            out = [c[k] for c in self.cost]
+        if len(lost):
+            new, at = np.unique(g[lost], return_inverse=True)
+            for x, c in zip(out, costs(new, *self.told), strict=True):
+                x[lost] = c[at]
+        return out
 
 
 def repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -339,17 +350,13 @@ def _score(batch: pa.Table, answers: pa.Table) -> pa.Table:
     key = answers.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     key, p, gamma = key[order], *(answers.column(c).to_numpy().astype(np.float64)[order] for c in ("p", "gamma"))
-    out = []
+    find, out = _Lookup(key, p, gamma), []
     for ids, langs, *rest in zip(*(batch.column(c).to_pylist() for c in ("ids", "langs", "sizes", "cuts", "chunks")), strict=True):
-        top = _distinct(*rest)
-        cost = costs(top, key, p, gamma)
-        find = _Lookup(top) if len(top) else None
         for row, n, raw, at in _open(*rest):
             s, ends = symbols(raw, at)
             lens = np.diff(ends) - (ORDER - 1)
             stop = np.cumsum(lens)
-            place = find(grams(s, ends)) if find else np.zeros(0, np.int64)
-            runs = (np.r_[0.0, np.cumsum(c[place])] for c in cost)
+            runs = (np.r_[0.0, np.cumsum(c)] for c in find(grams(s, ends)))
             bits = [r[stop] - r[stop - lens] for r in runs]
             again = repeats(np.frombuffer(raw, np.uint8), at)
             out.append(pa.table([pa.array(ids[row : row + n], pa.int64()), pa.array(langs[row : row + n], pa.string()), pa.array(lens, pa.int64()), *map(pa.array, bits), pa.array(again)], schema=SCORE))
