@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 from tidemark.llm import pii
 
@@ -38,6 +40,68 @@ def test_base_equals_the_patterns():
         assert pii.base_spans(t) == brute(t), t
 
 
+def test_zeros_and_long_numbers():
+    assert pii.base_spans("x " + "0" * 5000 + ".1.1.1") == [("ip", 2, 5008)]
+    for t in ("9" * 5000 + ".1.1.1", "1." * 3 + "0" * 5000, "0" * 6000):
+        pii.find(t, pii.Field())
+
+
+def best_of_all(field, text, lo, hi):
+    """Every segmentation of an island, scored one by one."""
+    cut, ends = field.lattice(text, lo, hi)
+    n = len(cut) - 1
+    steps = {i: [(i + 1, 0, field.score(0, field.token(text, cut[i], cut[i + 1])))] for i in range(n)}
+    for j in range(1, n + 1):
+        for i, f in ends[j - 1]:
+            steps[i] += [(j, k, field.score(k, f) - pii.MARGIN) for k in range(1, len(pii.KINDS) + 1)]
+
+    def go(i, label):
+        if i == n:
+            return 0.0, []
+        found = []
+        for j, k, s in steps[i]:
+            v, rest = go(j, k)
+            found.append((field.t[label][k] + s + v, ([(pii.KINDS[k - 1], cut[i], cut[j])] if k else []) + rest))
+        return max(found, key=lambda x: x[0])
+
+    return go(0, 0)[1]
+
+
+def test_decoding_equals_enumeration():
+    r = random.Random(6)
+    pieces = ["864 555-0138", "a(at)b.c", "x@y.de", "1234567", "1.2.3.4", "+49 30 1234567", "b 7654321", "-", "(12) 3456789", "z"]
+    some = 0
+    for _ in range(400):
+        t = r.choice(["", " "]).join(r.choice(pieces) for _ in range(r.randint(1, 3)))[:26]
+        field = pii.Field()
+        for k in range(len(pii.KINDS) + 1):
+            field.t[k] = [r.gauss(0, 1) for _ in field.t]
+        cut, ends = field.lattice(t, 0, len(t))
+        for f in [f for e in ends for _, fs in e for f in fs] + ["d", "a", "c=-", "n=1"]:
+            for w in field.w:
+                w.setdefault(f, r.gauss(0.3, 1))
+        got = field.decode(t, 0, len(t))
+        some += bool(got)
+        assert got == best_of_all(field, t, 0, len(t)), t
+    assert some > 100
+
+
+def test_unspaced_megabyte(spark):
+    field = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    r = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    base64 = "".join(r.choice(letters) for _ in range(1 << 20))
+    for t in (base64, "z" * (1 << 20), "7" * (1 << 20), "\u4e2d" * (1 << 20), "1." * (1 << 19), "a@" * (1 << 15), "1 " * (1 << 15), "1-" * (1 << 18)):
+        began = time.time()
+        pii.find(t, field)
+        assert time.time() - began < 20, t[:4]
+    tracemalloc.start()
+    for t in (base64[: 1 << 18], "a@" * (1 << 12)):
+        pii.find(t, field)
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+
+
 def test_base_is_linear():
     for t in ("a" * 300000, "1" * 300000, "1." * 150000, "+1" * 150000, "@" * 300000, "1 " * 150000):
         pii.base_spans(t)

@@ -14,17 +14,20 @@ import hashlib
 import math
 import random
 import re
+from array import array
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents the field is trained on at most, islands of them, and passes over these.
 TRAIN_DOCS, TRAIN_ISLANDS, EPOCHS = 1500, 900, 4
 MAX_TOKENS = 24
+#: Digits of a candidate without at-sign, and single spaces in it.
+LEAST_DIGITS, MOST_DIGITS, MOST_SPACES = 7, 23, 6
 #: Log-odds by which a segmentation with a span must beat the best one without.
 MARGIN = 2.0
 
@@ -40,6 +43,9 @@ _AT = r" ?[(\[]at[)\]] ?| at (?!(?:the|an?|this|that|these|those|each|every|his|
 _DOT = r" ?[(\[]dot[)\]] ?| dot (?=[a-z0-9-])"
 _SIGN = re.compile(f"[0-9@]|{_AT}|{_DOT}", re.I)
 _SPELLED_AT, _SPELLED_DOT = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+_MARK = re.compile(f"@|{_AT}", re.I)
+_QUAD = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_DIGITS, _JOINS, _HOST = "0123456789", ".-", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 _WORD_END = re.compile(r"[^\s]*+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 
@@ -68,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             free = at + 1
         at = text.find("@", free)
     for m in _digits(_IP, text):
-        if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) < 4 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() < 40:
@@ -172,30 +178,73 @@ class Field:
         self.w: list[dict[str, float]] = [{} for _ in range(len(KINDS) + 1)]
         self.t = [[0.0] * (len(KINDS) + 1) for _ in range(len(KINDS) + 1)]
 
-    def lattice(self, text: str, lo: int, hi: int):
-        """Token boundaries of an island and, by their last token, its candidate segments (first, features)."""
-        cut = [lo] + [m.end() for m in _TOKEN.finditer(text, lo, hi)]
-        n = len(cut) - 1
-        sign, k = [False] * n, 0
-        for m in _SIGN.finditer(text, lo, hi):
-            while cut[k + 1] <= m.start():
-                k += 1
-            for x in range(k, n):
-                if cut[x] >= m.end():
-                    break
-                sign[x] = True
-        ends = []
+    def segments(self, text: str, lo: int, hi: int):
+        """Token boundaries of an island and its candidate segments (first, last, exclusive) by last token.
+
+        Candidates are runs of digits and their separators with as many digits as a kind can have, and
+        words around one at-sign, so their number stays in proportion to the text. Neither may be cut
+        out of a longer run of its own signs.
+        """
+        inside = text[lo:hi]
+        marks = [(m.start(), m.end()) for m in _MARK.finditer(text, lo, hi)]
+        if not marks and sum(map(inside.count, "0123456789")) < 4:
+            return (), []
+        cut = array("q", [lo])
+        cut.extend(m.end() for m in _TOKEN.finditer(text, lo, hi))
+        n, found = len(cut) - 1, []
         for j in range(1, n + 1):
-            segs, seen = [], False
-            if text[cut[j] - 1].isalnum():
-                for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
-                    c = text[cut[i]]
-                    seen = seen or sign[i]
-                    if c == "\n":
+            b = cut[j]
+            if text[b - 1] not in _DIGITS or (text[b : b + 1] in _JOINS and text[b + 1 : b + 2] in _DIGITS and b + 1 < len(text)):
+                continue
+            digits = spaces = 0
+            for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
+                a = cut[i]
+                c = text[a]
+                if c in _DIGITS:
+                    digits += cut[i + 1] - a
+                    if digits > MOST_DIGITS:
                         break
-                    if seen and (c.isalnum() or c in "+("):
-                        segs.append((i, segment_features(text, cut[i], cut[j])))
-            ends.append(segs)
+                elif c == " ":
+                    spaces += 1
+                    if spaces > MOST_SPACES:
+                        break
+                    continue
+                elif c not in "+(":
+                    if c in ").-":
+                        continue
+                    break
+                joined = a > 1 and text[a - 1] in ".-" and text[a - 2] in _DIGITS
+                if not joined and (digits >= LEAST_DIGITS or (j - i == 7 and _QUAD.fullmatch(text, a, b))):
+                    found.append((i, j))
+                if c == "+":
+                    break
+        for k, (x, y) in enumerate(marks):
+            first, last = bisect_left(cut, x), bisect_left(cut, y)
+            low, high = marks[k - 1][1] if k else lo, marks[k + 1][0] if k + 1 < len(marks) else hi
+            starts = []
+            for i in range(first - 1, max(-1, first - MAX_TOKENS), -1):
+                a = cut[i]
+                if a < low or text[a] == "\n":
+                    break
+                if (text[a].isalnum() or text[a] in "+(") and text[a - 1 : a] not in _LOCAL:
+                    starts.append(i)
+            for j in range(last + 1, min(n, last + MAX_TOKENS) + 1):
+                b = cut[j]
+                if b > high or text[b - 1] == "\n":
+                    break
+                after = text[b : b + 2]
+                if text[b - 1].isalnum() and not (after[:1] in _HOST and after) and not (after[:1] == "." and after[1:] in _HOST and after[1:]):
+                    found += [(i, j) for i in starts if j - i <= MAX_TOKENS]
+        return cut, sorted(set(found), key=lambda x: (x[1], -x[0]))
+
+    def lattice(self, text: str, lo: int, hi: int):
+        """Token boundaries of an island and, by their last token, its candidate segments (first, features)."""
+        cut, found = self.segments(text, lo, hi)
+        if not found:
+            cut = [lo] + [m.end() for m in _TOKEN.finditer(text, lo, hi)]
+        ends: list = [[] for _ in range(len(cut) - 1)]
+        for i, j in found:
+            ends[j - 1].append((i, segment_features(text, cut[i], cut[j])))
         return cut, ends
 
     def token(self, text: str, i: int, j: int) -> list[str]:
@@ -207,29 +256,54 @@ class Field:
         return sum(w.get(f, 0.0) for f in features)
 
     def decode(self, text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
-        cut, ends = self.lattice(text, lo, hi)
+        """The best segmentation of an island.
+
+        A token that no candidate covers stands alone in any case, so stretches of candidates that
+        touch one another are decoded by themselves, each from the label of a lone token.
+        """
+        cut, found = self.segments(text, lo, hi)
+        out: list = []
+        stretch: list = []
+        end = -1
+        for i, j in [*sorted(found), (len(cut) + 1, 0)]:
+            if stretch and i > end:
+                stretch.sort(key=lambda x: (x[1], -x[0]))
+                out += self._best(text, cut, first, end, stretch)
+                stretch = []
+            first = first if stretch else i
+            end = max(end, j)
+            stretch.append((i, j))
+        return out
+
+    def _best(self, text: str, cut, first: int, last: int, found: list) -> list[tuple[str, int, int]]:
+        """Viterbi over tokens first .. last; scores are kept for MAX_TOKENS tokens only, of the rest where they came from."""
         y = range(len(KINDS) + 1)
-        best = [[0.0] + [-math.inf] * len(KINDS)]
-        back: list = [None]
-        for j in range(1, len(cut)):
-            row, come = [-math.inf] * len(y), [None] * len(y)
-            s = self.score(0, self.token(text, cut[j - 1], cut[j]))
+        ring = [[-math.inf] * len(y) for _ in range(MAX_TOKENS + 1)]
+        ring[first % len(ring)] = [0.0] + [-math.inf] * len(KINDS)
+        come, label = array("i", [0]) * (len(y) * (last - first)), array("b", [0]) * (len(y) * (last - first))
+        at = 0
+        for j in range(first + 1, last + 1):
+            row, base = [-math.inf] * len(y), len(y) * (j - first - 1)
+            s, before = self.score(0, self.token(text, cut[j - 1], cut[j])), ring[(j - 1) % len(ring)]
             for p in y:
-                v = best[j - 1][p] + self.t[p][0] + s
+                v = before[p] + self.t[p][0] + s
                 if v > row[0]:
-                    row[0], come[0] = v, (j - 1, p)
-            for i, f in ends[j - 1]:
+                    row[0], come[base], label[base] = v, j - 1, p
+            while at < len(found) and found[at][1] == j:
+                i = found[at][0]
+                at += 1
+                f, before = segment_features(text, cut[i], cut[j]), ring[i % len(ring)]
                 for k in y[1:]:
                     s = self.score(k, f) - MARGIN
                     for p in y:
-                        v = best[i][p] + self.t[p][k] + s
+                        v = before[p] + self.t[p][k] + s
                         if v > row[k]:
-                            row[k], come[k] = v, (i, p)
-            best.append(row)
-            back.append(come)
-        out, j, k = [], len(cut) - 1, max(y, key=lambda k: best[-1][k])
-        while j > 0:
-            i, p = back[j][k]
+                            row[k], come[base + k], label[base + k] = v, i, p
+            ring[j % len(ring)] = row
+        after = [v + self.t[k][0] * (last < len(cut) - 1) for k, v in enumerate(row)]
+        out, j, k = [], last, max(y, key=after.__getitem__)
+        while j > first:
+            i, p = come[len(y) * (j - first - 1) + k], label[len(y) * (j - first - 1) + k]
             if k:
                 out.append((KINDS[k - 1], cut[i], cut[j]))
             j, k = i, p
@@ -357,10 +431,14 @@ def find(text: str | None, field: Field):
     """Base spans and all spans, both by kind and start."""
     text = text or ""
     base = base_spans(text)
-    added = []
+    taken = sorted((x, y) for _, x, y in base)
+    added, at, reach = [], 0, 0  # decoded spans come in order, so one pass over the base spans will do
     for lo, hi in islands(text):
         for kind, a, b in field.decode(text, lo, hi):
-            if all(b <= x or a >= y for _, x, y in base):
+            while at < len(taken) and taken[at][0] < b:
+                reach = max(reach, taken[at][1])
+                at += 1
+            if reach <= a:
                 added.append((kind, a, b))
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
     return base, sorted(base + added, key=order)
@@ -386,7 +464,6 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Spans of each row, in code points with exclusive ends. Null texts are empty; ids may repeat or be null; other columns are not read."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     sent = spark.sparkContext.broadcast(field or fit(docs))
 
     def f(batches):
@@ -416,7 +493,6 @@ def mask_text(text: str, spans) -> str:
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``docs`` with personal data masked in ``text``; null texts stay null, other columns stay as they are."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     sent = spark.sparkContext.broadcast(field or fit(docs))
 
     def f(batches):
