@@ -11,20 +11,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch handed to Python; keeps one batch of long documents small.
-ARROW_ROWS = 2000
-
 _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary folder if Spark runs in this process alone, else one in the warehouse, which a cluster shares."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="tidemark-")
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        _local[app] = tempfile.mkdtemp(prefix="tidemark-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidemark"
         spark.sparkContext.setCheckpointDir(_local[app])
     return _local[app]
 
@@ -53,8 +51,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def rows_of(batches):
+    """Rows of Arrow batches as dicts, one at a time: a batch may hold many large rows, but no copy of them all."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

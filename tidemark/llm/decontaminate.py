@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices, utf8, words8
+from .common import slices, utf8, words8
 
 Q, WINDOW, RATE = 8, 80, 0.075
 #: An item with fewer bytes than this after normalizing is no evidence and is not searched.
@@ -209,7 +209,6 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeated documents each give rows of their own; a null doc_id or item_id is reported as null.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     out = None
     for items in _blocks(benchmark):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, mix, shingles, slices, utf8, word_hashes
+from .common import materialize, mix, shingles, slices, utf8, word_hashes
 
 SHINGLE = 5
 #: Similarity of links as a fraction: 4/5.
@@ -248,7 +248,6 @@ def join(docs: DataFrame) -> DataFrame:
     repeat a doc_id are compared like rows of different documents.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     hashed = rows.withColumn("h", F.xxhash64("text"))
     sketch = materialize(hashed.mapInArrow(_sketch(prefix_length()), "doc_id long, h long, node binary, size long, keys array<long>"), "jaccard-sketch")
@@ -271,11 +270,9 @@ def join(docs: DataFrame) -> DataFrame:
     shingled = materialize(held.mapInArrow(_fetch, "node binary, shingles binary"), "jaccard-shingles")
     if shingled.groupBy("node").count().where("count > 1").limit(1).count():
         shingled = shingled.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    arrow_rows(spark, 500)
     full = asked.join(shingled, "node").select(*asked.columns, "shingles")
     found = full.repartition(parts, *TASK).sortWithinPartitions(*TASK).mapInArrow(_verify, "node binary, peer binary, links long")
     found = materialize(found, "jaccard-links")
-    arrow_rows(spark)
     roots = components(found.select("node", "peer"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     told = nodes.select("node", "weight", "least").join(links, "node", "left").join(roots, "node", "left")

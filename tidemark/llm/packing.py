@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, scratch
+from .common import scratch
 
 WINDOW, END, PAD = 2048, 1, 0
 #: Remainders that a task sorts and packs at once, for the piece list and for the matrices.
@@ -191,7 +191,6 @@ def _pieces(path: str, width: int):
 
 def pack(docs: DataFrame, tokenizer: str | None = None, width: int = WINDOW) -> DataFrame:
     """Pieces of the documents and where they stand. Each row of ``docs`` is a document of its own, whatever its doc_id; a null or empty text has the one id END."""
-    arrow_rows(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, width), PIECES_SQL)
 
@@ -245,7 +244,6 @@ def write_matrices(docs: DataFrame, path: str, tokenizer: str | None = None, wid
     """
     from tokenizers import Tokenizer
 
-    arrow_rows(docs.sparkSession)
     name = tokenizer or default_tokenizer()
     id_bytes = 2 if max(Tokenizer.from_file(name).get_vocab_size(), END + 1) <= 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_matrices(name, width, id_bytes), MATRIX_SQL)

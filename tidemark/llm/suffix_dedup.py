@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, mix, slices, utf8, words8
+from .common import materialize, mix, rows_of, slices, utf8, words8
 
 LENGTH, KMER = 50, 24
 WIDE = LENGTH - KMER + 1
@@ -165,18 +165,17 @@ class _Run:
 
 def _ask(buckets: int):
     def f(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                run = _Run(r, buckets)
-                out = {"bucket": [], "run": [], "keys": [], "docs": []}
-                for b in range(buckets):
-                    i, j = run.cuts[b], run.cuts[b + 1]
-                    if j > i:
-                        out["bucket"].append(b)
-                        out["run"].append(r["run"])
-                        out["keys"].append(run.keys[i:j].astype(np.uint32).tobytes())
-                        out["docs"].append(_pack(run.docs[i:j]))
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
+        for r in rows_of(batches):
+            run = _Run(r, buckets)
+            out = {"bucket": [], "run": [], "keys": [], "docs": []}
+            for b in range(buckets):
+                i, j = run.cuts[b], run.cuts[b + 1]
+                if j > i:
+                    out["bucket"].append(b)
+                    out["run"].append(r["run"])
+                    out["keys"].append(run.keys[i:j].astype(np.uint32).tobytes())
+                    out["docs"].append(_pack(run.docs[i:j]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
 
     return f
 
@@ -194,32 +193,31 @@ def _count(table: pa.Table) -> pa.Table:
 
 def _front_code(buckets: int):
     def f(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                found = _Run(r, buckets).elements(r["verdicts"], buckets)
-                if found is None:
+        for r in rows_of(batches):
+            found = _Run(r, buckets).elements(r["verdicts"], buckets)
+            if found is None:
+                continue
+            m, length, right, bucket, least, _ = found
+            same = np.zeros(len(m), np.int64)
+            if len(m) > 1:
+                differ = m[1:] != m[:-1]
+                same[1:] = np.minimum(np.where(differ.any(1), differ.argmax(1), 80), np.minimum(length[1:], length[:-1]))
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            out = {"bucket": [], "run": [], "head": [], "ids": [], "rest": []}
+            for b in range(buckets):
+                i, j = cuts[b], cuts[b + 1]
+                if j == i:
                     continue
-                m, length, right, bucket, least, _ = found
-                same = np.zeros(len(m), np.int64)
-                if len(m) > 1:
-                    differ = m[1:] != m[:-1]
-                    same[1:] = np.minimum(np.where(differ.any(1), differ.argmax(1), 80), np.minimum(length[1:], length[:-1]))
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                out = {"bucket": [], "run": [], "head": [], "ids": [], "rest": []}
-                for b in range(buckets):
-                    i, j = cuts[b], cuts[b + 1]
-                    if j == i:
-                        continue
-                    shared = same[i:j].copy()
-                    shared[0] = 0
-                    col = np.arange(80)[None]
-                    rest = m[i:j][(col >= shared[:, None]) & (col < length[i:j, None])]
-                    out["bucket"].append(b)
-                    out["run"].append(r["run"])
-                    out["head"].append(_pack(np.stack([shared, length[i:j], right[i:j]]).astype(np.uint8)))
-                    out["ids"].append(_pack(least[i:j]))
-                    out["rest"].append(_pack(rest))
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("head", pa.binary()), ("ids", pa.binary()), ("rest", pa.binary())]))
+                shared = same[i:j].copy()
+                shared[0] = 0
+                col = np.arange(80)[None]
+                rest = m[i:j][(col >= shared[:, None]) & (col < length[i:j, None])]
+                out["bucket"].append(b)
+                out["run"].append(r["run"])
+                out["head"].append(_pack(np.stack([shared, length[i:j], right[i:j]]).astype(np.uint8)))
+                out["ids"].append(_pack(least[i:j]))
+                out["rest"].append(_pack(rest))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("head", pa.binary()), ("ids", pa.binary()), ("rest", pa.binary())]))
 
     return f
 
@@ -344,39 +342,38 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
 
 def _resolve(buckets: int):
     def f(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                run = _Run(r, buckets)
-                cover = np.zeros(len(run.raw) + 1, np.int32)
-                found = run.elements(r["verdicts"], buckets)
-                if found is not None:
-                    _, length, right, _, least, (elem, row, p) = found
-                    n = length - LENGTH + 1
-                    least = np.repeat(least, n)
-                    base = np.cumsum(n) - n
-                    replies = sorted((x["bucket"], x["least"]) for x in r["replies"] or [])
-                    if replies:
-                        least = np.concatenate([_unpack(x, np.int64) for _, x in replies])
-                    for i in range(0, len(elem), 1 << 18):
-                        e = elem[i : i + (1 << 18)]
-                        k = n[e]
-                        j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                        o = j + np.repeat(LENGTH - right[e], k)
-                        hit = least[np.repeat(base[e], k) + j] < np.repeat(run.ids[row[i : i + (1 << 18)]], k)
-                        s = (np.repeat(p[i : i + (1 << 18)], k) - o)[hit]
-                        np.add.at(cover, s, 1)
-                        np.add.at(cover, s + LENGTH, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-                for k, d in enumerate(run.ids.tolist()):
-                    a, b = run.offsets[k], run.offsets[k + 1]
-                    g = gone[a:b]
-                    out["doc_id"].append(None if d == NO_ID else d)
-                    out["n_bytes"].append(int(b - a))
-                    out["n_removed"].append(int(g.sum()))
-                    out["n_spans"].append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
-                    out["kept_sha256"].append(hashlib.sha256(run.raw[a:b][~g].tobytes()).hexdigest())
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+        for r in rows_of(batches):
+            run = _Run(r, buckets)
+            cover = np.zeros(len(run.raw) + 1, np.int32)
+            found = run.elements(r["verdicts"], buckets)
+            if found is not None:
+                _, length, right, _, least, (elem, row, p) = found
+                n = length - LENGTH + 1
+                least = np.repeat(least, n)
+                base = np.cumsum(n) - n
+                replies = sorted((x["bucket"], x["least"]) for x in r["replies"] or [])
+                if replies:
+                    least = np.concatenate([_unpack(x, np.int64) for _, x in replies])
+                for i in range(0, len(elem), 1 << 18):
+                    e = elem[i : i + (1 << 18)]
+                    k = n[e]
+                    j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    o = j + np.repeat(LENGTH - right[e], k)
+                    hit = least[np.repeat(base[e], k) + j] < np.repeat(run.ids[row[i : i + (1 << 18)]], k)
+                    s = (np.repeat(p[i : i + (1 << 18)], k) - o)[hit]
+                    np.add.at(cover, s, 1)
+                    np.add.at(cover, s + LENGTH, -1)
+            gone = np.cumsum(cover[:-1]) > 0
+            out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+            for k, d in enumerate(run.ids.tolist()):
+                a, b = run.offsets[k], run.offsets[k + 1]
+                g = gone[a:b]
+                out["doc_id"].append(None if d == NO_ID else d)
+                out["n_bytes"].append(int(b - a))
+                out["n_removed"].append(int(g.sum()))
+                out["n_spans"].append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
+                out["kept_sha256"].append(hashlib.sha256(run.raw[a:b][~g].tobytes()).hexdigest())
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
     return f
 
@@ -391,12 +388,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     Null or empty texts have no bytes. A null doc_id ranks after every other one. Rows that repeat a
     doc_id are not compared with one another. Columns other than doc_id and text are not read.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
     runs = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack_runs, RUN_SCHEMA), "suffix-runs")
     total = runs.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = max(12, -(-total // BUCKET_BYTES))
-    arrow_rows(spark, 1)  # rows from here on are whole runs
     asked = runs.mapInArrow(_ask(buckets), "bucket long, run long, keys binary, docs binary")
     verdicts = asked.groupBy("bucket").applyInArrow(_count, "run long, bucket long, verdict binary")
     verdicts = materialize(verdicts.groupBy("run").agg(F.collect_list(F.struct("bucket", "verdict")).alias("verdicts")), "suffix-verdicts")
