@@ -54,6 +54,13 @@ def test_pieces(spark, monkeypatch):
     n = check(pieces, docs)
     assert n <= 1.1 * sum(p[2] for p in pieces) / 2048 + 2
     monkeypatch.setattr(P, "BUFFER", 5)
+    monkeypatch.setattr(P, "OPEN_WINDOWS", 3)
+    def f(batches):
+        P.BUFFER, P.OPEN_WINDOWS = 5, 3
+        yield from inner(batches)
+    inner = P._pieces(P.default_tokenizer(), 2048)
+    rows = df.select("doc_id", "text")
+    check([tuple(r) for r in rows.mapInArrow(f, P.PIECES_SQL).collect()], docs)
     check([tuple(r) for r in P.pack(df).collect()], docs)
 
 
@@ -61,7 +68,7 @@ def test_best_fit_decreasing():
     r = random.Random(2)
     for width in (10, 64, 100):
         sizes = [r.randint(1, width - 1) for _ in range(200)]
-        packer = P.Packer(0, width)
+        packer = P.Packer(width)
         got = packer.place(sizes)
         rooms, want = [], {}
         for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):  # the plain way
@@ -96,6 +103,22 @@ def test_matrices_round_trip(spark, tmp_path):
     assert got.where("bad_padding > 0 OR n_tokens <> element_at(cu_seqlens, -1)").count() == 0
 
 
+def test_padding_of_whole_tables(spark):
+    for d, least in (("sf0.001", 0.95), ("sf0.01", 0.96), ("sf0.1", 0.96)):
+        docs = spark.read.parquet(f"/root/testdata/{d}/documents.parquet").coalesce(1)
+        got = P.pack(docs).selectExpr("sum(length) AS n", "count(DISTINCT sequence_id) AS s").first()
+        assert got.n / 2048 / got.s > least, (d, got)
+        assert P.pack(docs).where("offset + length > 2048").count() == 0
+
+
+def test_extra_columns_and_repeats(spark, tmp_path):
+    _, df = frame(spark)
+    odd = df.unionByName(df).selectExpr("*", "1 AS ids", "'w' AS width", "doc_id AS doc_ids")
+    P.write_matrices(odd, str(tmp_path / "m"))
+    got = P.read_matrices(spark, str(tmp_path / "m"))
+    assert got.selectExpr("sum(element_at(cu_seqlens, -1))").first()[0] == P.pack(odd).selectExpr("sum(length)").first()[0]
+
+
 def test_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert P.pack(none).collect() == []

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 WINDOW, END, PAD = 2048, 1, 0
-#: Remainders that a task sorts and packs at once, for the piece list and for the matrices.
-BUFFER, MATRIX_BUFFER = 16384, 4096
+#: Remainders that a task sorts and packs at once, and windows that it keeps open for the next ones.
+BUFFER, OPEN_WINDOWS = 4096, 2048
 CACHE_WORDS = 500_000
 #: Python's split() also cuts at these, which the tokenizer does not take for white space.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -40,21 +41,31 @@ def _ids(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-class Words:
-    """Ids (little-endian uint32 bytes) of white-space separated words.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte before a byte-level model: printable ones for themselves, the others follow from 256 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
+class Words(dict):
+    """Ids (little-endian uint32 bytes) of white-space separated words, by word.
 
     The tokenizer never joins text across white space, so a text's ids are those of its words in
     order, and in ``word_bpe_49k`` those of a word of letters and punctuation are those of its
-    lower-case letters and its punctuation. Both caches are emptied when full.
+    lower-case letters and its punctuation. Letters go straight to the model, byte by byte as it
+    takes them; a tokenizer that does otherwise with a sample is asked for every word. Both caches
+    are emptied when full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.cache: dict[str, bytes] = {}
+        super().__init__()
         self.parts: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.splits = _ids(self.tokenizer, "Aé,.") == b"".join(_ids(self.tokenizer, x) for x in ("aé", ",."))
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.splits = all(_ids(self.tokenizer, x) == self._letters(y) + _ids(self.tokenizer, z) for x, y, z in (("Aé,.", "aé", ",."), ("Straßenbahnhöfe!", "straßenbahnhöfe", "!"), ("internationally;", "internationally", ";")))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -67,31 +78,36 @@ class Words:
         return self._some(words)
 
     def _some(self, words: list[str]) -> bytes:
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(self.parts) > CACHE_WORDS:
-                self.parts.clear()
-            for w in new:
-                cache[w] = self._word(w)
-        return b"".join(map(cache.__getitem__, words))
-
-    def _word(self, word: str) -> bytes:
-        m = _SIMPLE.fullmatch(word) if self.splits else None
-        return self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"") if m else _ids(self.tokenizer, word)
-
-    def _part(self, part: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        return b"".join(map(self.__getitem__, words))
+
+    def __missing__(self, word: str) -> bytes:
+        if self.splits and word.isalpha() and word.isascii():
+            part, marks = word.lower(), ""
+        elif self.splits and (m := _SIMPLE.fullmatch(word)):
+            part, marks = m[1].lower(), m[2]
+        else:
+            ids = self[word] = _ids(self.tokenizer, word)
+            return ids
         ids = self.parts.get(part)
         if ids is None:
-            if part.isascii() and part.isalpha():  # the same letters for the model, without the way through the pipeline
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
-            else:
-                ids = _ids(self.tokenizer, part)
-            self.parts[part] = ids
+            ids = self.parts[part] = self._letters(part)
+        if marks:
+            more = self.parts.get(marks)
+            if more is None:
+                more = self.parts[marks] = _ids(self.tokenizer, marks)
+            ids += more
+        self[word] = ids
         return ids
 
+    def _letters(self, part: str) -> bytes:
+        if not part.isascii():
+            part = "".join(map(self.letters.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
 
 class Rooms:
     """Open windows by remaining room, in a segment tree over 0..width."""
@@ -131,22 +147,22 @@ class Rooms:
 class Packer:
     """Places pieces of at most ``width`` tokens; windows stay open between calls."""
 
-    def __init__(self, first: int, width: int = WINDOW):
-        self.width, self.next, self.rooms = width, first, Rooms(width)
+    def __init__(self, width: int = WINDOW):
+        self.width, self.next, self.rooms = width, 0, Rooms(width)
 
     def full(self) -> int:
         self.next += 1
         return self.next - 1
 
     def place(self, lengths: list[int]) -> list[tuple[int, int]]:
-        """(sequence, offset) of each length."""
+        """(window, offset) of each length."""
         out: list = [None] * len(lengths)
         for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
             n = lengths[i]
-            room, seq = self.rooms.take(n) or (self.width, self.full())
-            out[i] = (seq, self.width - room)
+            room, window = self.rooms.take(n) or (self.width, self.full())
+            out[i] = (window, self.width - room)
             if room > n:
-                self.rooms.put(room - n, seq)
+                self.rooms.put(room - n, window)
         return out
 
 
@@ -157,34 +173,50 @@ def _tokens(batches, path: str):
             yield d, words.ids(t) + end
 
 
+def sequences(batches, path: str, width: int):
+    """Packed sequences of a task, as lists of (offset, doc_id, start, ids, ids of the document).
+
+    Full windows go out at once. BUFFER remainders are placed at a time; of the windows still open
+    after that the tightest go out until OPEN_WINDOWS are left.
+    """
+    packer, held, rest = Packer(width), {}, []
+
+    def settle(most: int):
+        for piece, (window, offset) in zip(rest, packer.place([len(x[2]) // 4 for x in rest]), strict=True):
+            held.setdefault(window, []).append((offset, *piece))
+        rest.clear()
+        done = [w for w, x in held.items() if sum(len(s[3]) for s in x) == 4 * width]
+        done += [packer.rooms.take(1)[1] for _ in range(len(held) - len(done) - most)]
+        for w in done:
+            yield sorted(held.pop(w), key=lambda s: s[0])
+
+    for d, ids in _tokens(batches, path):
+        for start in range(0, len(ids) // 4, width):
+            part = ids[4 * start : 4 * (start + width)]
+            if len(part) == 4 * width:
+                yield [(0, d, start, part, len(ids) // 4)]
+            else:
+                rest.append((d, start, part, len(ids) // 4))
+        if len(rest) >= BUFFER:
+            yield from settle(OPEN_WINDOWS)
+    yield from settle(0)
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def _pieces(path: str, width: int):
     def f(batches):
-        packer, done, rest = Packer(TaskContext.get().partitionId() << 32, width), [], []
-
-        def flush():
-            places = packer.place([r[2] for r in rest])
-            rows = done + [(*r, *p) for r, p in zip(rest, places, strict=True)]
-            done.clear()
-            rest.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECES)
-
-        for d, ids in _tokens(batches, path):
-            total = len(ids) // 4
-            for start in range(0, total, width):
-                part = ids[4 * start : 4 * (start + width)]
-                row = (d, start, len(part) // 4, zlib.crc32(part), total)
-                if row[2] == width:
-                    done.append((*row, packer.full(), 0))
-                else:
-                    rest.append(row)
-            if len(rest) >= BUFFER or len(done) >= 2 * BUFFER:
-                yield flush()
-        if done or rest:
-            yield flush()
+        base, rows = TaskContext.get().partitionId() << 32, []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECES)
+        for n, segments in enumerate(sequences(batches, path, width)):
+            rows += [(d, start, len(part) // 4, zlib.crc32(part), total, base | n, offset) for offset, d, start, part, total in segments]
+            if len(rows) >= 8192:
+                yield out()
+                rows = []
+        if rows:
+            yield out()
 
     return f
 
@@ -203,35 +235,20 @@ def _matrices(path: str, width: int, id_bytes: int):
     kind = f"<u{id_bytes}"
 
     def f(batches):
-        full, rest, next_id = [], [], TaskContext.get().partitionId() << 32
-
-        def rows(places):
-            nonlocal next_id
-            found: dict = {}
-            for (d, start, part), (seq, offset) in zip(rest, places, strict=True):
-                found.setdefault(seq, []).append((offset, d, start, part))
-            sequences = [[x] for x in full] + [sorted(found[s], key=lambda x: x[0]) for s in sorted(found)]
-            cols: dict = {k: [] for k in MATRIX.names}
-            for segments in sequences:
-                ids = np.frombuffer(b"".join(s[3] for s in segments), "<u4")
-                row = np.full(width, PAD, kind)
-                row[: len(ids)] = ids
-                offsets = [s[0] for s in segments]
-                for k, v in zip(MATRIX.names, (next_id, row.tobytes(), width, id_bytes, [*offsets, len(ids)], offsets, [s[1] for s in segments], [s[2] for s in segments]), strict=True):
-                    cols[k].append(v)
-                next_id += 1
-            full.clear()
-            rest.clear()
-            return pa.RecordBatch.from_pydict(cols, MATRIX)
-
-        for d, ids in _tokens(batches, path):
-            for start in range(0, len(ids) // 4, width):
-                part = ids[4 * start : 4 * (start + width)]
-                (full.append((0, d, start, part)) if len(part) == 4 * width else rest.append((d, start, part)))
-                if len(rest) >= MATRIX_BUFFER or len(full) >= MATRIX_BUFFER:
-                    yield rows(Packer(0, width).place([len(x[2]) // 4 for x in rest]))
-        if full or rest:
-            yield rows(Packer(0, width).place([len(x[2]) // 4 for x in rest]))
+        base = TaskContext.get().partitionId() << 32
+        cols: dict = {k: [] for k in MATRIX.names}
+        for n, segments in enumerate(sequences(batches, path, width)):
+            ids = np.frombuffer(b"".join(s[3] for s in segments), "<u4")
+            row = np.full(width, PAD, kind)
+            row[: len(ids)] = ids
+            offsets = [s[0] for s in segments]
+            for k, v in zip(MATRIX.names, (base | n, row.tobytes(), width, id_bytes, [*offsets, len(ids)], offsets, [s[1] for s in segments], [s[2] for s in segments]), strict=True):
+                cols[k].append(v)
+            if len(cols["ids"]) >= 1024:
+                yield pa.RecordBatch.from_pydict(cols, MATRIX)
+                cols = {k: [] for k in cols}
+        if cols["ids"]:
+            yield pa.RecordBatch.from_pydict(cols, MATRIX)
 
     return f
 
@@ -266,6 +283,7 @@ def _digest(batches):
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places; odd rows as in :func:`pack`."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
