@@ -7,7 +7,7 @@ from tidemark.llm import decontaminate as D
 
 
 def norm(t):
-    return re.sub(rb"[^a-z0-9\x80-\xff]+", b" ", (t or "").lower().encode()).strip(b" ")
+    return re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", (t or "").lower()).strip(" ")
 
 
 def least_edits(w, t):
@@ -22,19 +22,19 @@ def least_edits(w, t):
 
 
 def windows(b):
-    if len(b) < D.LEAST:
-        return []
     if len(b) <= D.WINDOW:
         return [b]
-    return [b[s : s + D.WINDOW] for s in [*range(0, len(b) - D.WINDOW, D.WINDOW // 2), len(b) - D.WINDOW]]
+    return [b[s : s + D.WINDOW] for s in [*range(0, len(b) - D.WINDOW, D.STEP), len(b) - D.WINDOW]]
+
+
+def holds(t, x):
+    if len(x) < D.SHORT:
+        return bool(x) and f" {x} " in f" {t} "
+    return any(least_edits(w, t) <= D.budget(len(w)) for w in windows(x))
 
 
 def brute(docs, items):
-    return sorted(
-        (d, i)
-        for d, t in docs
-        for i in {i for i, x in items if any(least_edits(w, norm(t)) <= D.budget(len(w)) for w in windows(norm(x)))}
-    )
+    return sorted((d, i) for d, t in docs for i in {i for i, x in items if holds(norm(t), norm(x))})
 
 
 def edited(r, t, n):
@@ -49,7 +49,7 @@ def test_matches_brute_force(spark):
     r = random.Random(5)
     parts = ["the", "and", "er", "on", "é", " ", " ", "ing", ". ", "tion", "\n"]
     text = lambda n: "".join(r.choice(parts) for _ in range(n))
-    items = [(i, text(r.choice([3, 20, 30, 60]))) for i in range(12)] + [(99, None), (98, ""), (3, text(40))]
+    items = [(i, text(r.choice([3, 20, 30, 60]))) for i in range(12)] + [(99, None), (98, ""), (3, text(40)), (50, "thean"), (51, "er er"), (52, "é"), (53, "the quick brown fox runs"), (54, "хорошо быть здесь и сейчас, а не там где нас нет")]
     docs = []
     for d in range(60):
         t = text(r.randint(0, 60))
@@ -57,6 +57,7 @@ def test_matches_brute_force(spark):
             p = r.choice(items)[1] or "x"
             t = t[: len(t) // 2] + " " + edited(r, p, r.choice([0, 2, 4, 6, 9, 14])).upper() + " " + t[len(t) // 2 :]
         docs.append((d, t))
+    docs += [(300, "so: The QUICK brown fox runs!"), (301, "the quick brown fox runsé"), (302, "мне Хорошо быть здесь и сейчаз, а не там где нас нет ни кого"), (303, "é")]
     docs += [(200, None), (201, ""), (5, docs[5][1]), (202, items[4][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -87,4 +88,21 @@ def test_normalize():
     t = ["  A-b  c. ", "", "é!", "..."]
     raw = [x.lower().encode() for x in t]
     out, cut = D.normalize(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
-    assert [bytes(out[a:b]) for a, b in zip(cut, cut[1:])] == [b"a b c", b"", "é".encode(), b""]
+    assert ["".join(map(chr, out[a:b])) for a, b in zip(cut, cut[1:])] == ["a b c", "", "é", ""]
+
+
+def test_long_text_and_repeated_items(spark):
+    passage = "a passage of some length that nobody would write by chance in any other document here"
+    items = spark.createDataFrame([(1, passage), (1, passage), (2, "word")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "filler " * 300000 + passage + " filler" * 300000), (2, "swordfish")], "doc_id long, text string")
+    got = sorted(map(tuple, D.matches(docs.selectExpr("*", "'k' AS item_id", "0 AS edits"), items).collect()))
+    assert [g[:2] for g in got] == [(1, 1)] and got[0][3] == 0
+
+
+def test_verbatim_passages_at_any_place_are_found(spark):
+    r = random.Random(8)
+    item = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(60))
+    n = D.WINDOW + D.STEP
+    docs = [(k, "before " + item[k : k + n + 2] + " after") for k in range(0, len(item) - n)]
+    got = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert {x.doc_id for x in got.collect()} == {k for k, _ in docs}
