@@ -77,3 +77,13 @@ def test_merge_orders_and_shares():
     assert [s for _, s, _, _ in got] == sorted(s for x in runs for s in x)
     for (_, a, _, _), (_, b, _, n) in zip(got, got[1:]):
         assert n == common(a, b)
+
+
+def test_largest_id_and_a_very_long_text(spark):
+    r = random.Random(11)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(90))
+    long = "".join(r.choice("ijklmnop ") for _ in range(3_000_000))
+    rows = [(2**63 - 1, passage + " end"), (None, "x" + passage), (1, "start " + passage), (2, long[:1_500_000] + "#" + passage + "#" + long[1_500_000:])]
+    got = {r.doc_id: r for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2**63 - 1].n_removed == 90 and got[None].n_removed == 90 and got[1].n_removed == 0
+    assert got[2].n_removed == 90 and got[2].n_bytes == 3_000_092

@@ -53,23 +53,25 @@ def _unpack(blob: bytes, dtype) -> np.ndarray:
 
 def pack_runs(batches):
     """(doc_id, text) batches into rows of some MB: ids, lengths and compressed bytes."""
-    part, n, ids, lens, data, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+    part, n, ids, nulls, lens, data, held = TaskContext.get().partitionId(), 0, [], [], [], [], 0
 
     def row():
         blob = zstandard.compress(b"".join(data), 1)
-        return pa.RecordBatch.from_pydict({"run": pa.array([(part << 32) | n], pa.int64()), "ids": [np.concatenate(ids).tobytes()], "lens": [np.concatenate(lens).tobytes()], "bytes": pa.array([sum(map(len, data))], pa.int64()), "data": [blob]})
+        return pa.RecordBatch.from_pydict({"run": pa.array([(part << 32) | n], pa.int64()), "ids": [np.concatenate(ids).tobytes()], "nulls": [np.concatenate(nulls).tobytes()], "lens": [np.concatenate(lens).tobytes()], "bytes": pa.array([sum(map(len, data))], pa.int64()), "data": [blob]})
 
     for batch in batches:
         raw, at = utf8(batch.column("text"))
+        none = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
         key = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j in slices(at, 1 << 20):
             ids.append(key[i:j])
+            nulls.append(none[i:j])
             lens.append(np.diff(at[i : j + 1]))
             data.append(raw[at[i] : at[j]].tobytes())
             held += len(data[-1])
             if held >= RUN_BYTES:
                 yield row()
-                n, ids, lens, data, held = n + 1, [], [], [], 0
+                n, ids, nulls, lens, data, held = n + 1, [], [], [], [], 0
     if ids:
         yield row()
 
@@ -365,10 +367,11 @@ def _resolve(buckets: int):
                     np.add.at(cover, s + LENGTH, -1)
             gone = np.cumsum(cover[:-1]) > 0
             out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+            nulls = np.frombuffer(r["nulls"], np.uint8)
             for k, d in enumerate(run.ids.tolist()):
                 a, b = run.offsets[k], run.offsets[k + 1]
                 g = gone[a:b]
-                out["doc_id"].append(None if d == NO_ID else d)
+                out["doc_id"].append(None if nulls[k] else d)
                 out["n_bytes"].append(int(b - a))
                 out["n_removed"].append(int(g.sum()))
                 out["n_spans"].append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
@@ -378,14 +381,14 @@ def _resolve(buckets: int):
     return f
 
 
-RUN_SCHEMA = "run long, ids binary, lens binary, bytes long, data binary"
+RUN_SCHEMA = "run long, ids binary, nulls binary, lens binary, bytes long, data binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Per document, what is left without each byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
-    Null or empty texts have no bytes. A null doc_id ranks after every other one. Rows that repeat a
+    Null or empty texts have no bytes. A null doc_id ranks with the largest possible one, after every other. Rows that repeat a
     doc_id are not compared with one another. Columns other than doc_id and text are not read.
     """
     runs = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack_runs, RUN_SCHEMA), "suffix-runs")
@@ -402,4 +405,5 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What is left of every document's bytes; see :func:`dedup`."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
