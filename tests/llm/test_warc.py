@@ -65,3 +65,14 @@ def test_oracle(spark, sf):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     assert got == sorted(c.execute(warc.OP4_SQL).fetchall())
+
+
+def test_digests_come_from_the_records(spark, tmp_path):
+    write(spark, tmp_path)
+    rebuilt = warc.records(spark, f"{tmp_path}/a")
+    got = sorted(warc.digests(rebuilt).collect(), key=str)
+    b = lambda h: (h or "").encode()
+    assert sorted((r.payload_bytes, r.payload_digest) for r in got) == sorted((len(b(h)), hashlib.sha256(b(h)).hexdigest()) for _, _, h in ROWS)
+    parsed = warc.read_archive(spark, f"{tmp_path}/a").select(*got[0].__fields__).collect()
+    assert sorted(map(tuple, parsed), key=str) == sorted(map(tuple, got), key=str)
+    assert warc.digests(rebuilt.limit(0)).collect() == []

@@ -3,8 +3,9 @@
 ``write_archive`` turns rows into WARC/1.1 records. A record's header block is kept byte for byte in
 the ``headers`` table; its payload goes to the ``payloads`` table once for each SHA-256 digest.
 ``read_archive`` verifies every stored payload against its digest and length, parses the header
-blocks and joins both, and ``records`` gives the original records back byte for byte. All of it is
-DataFrame work: the writing side shuffles digests and ids, and a payload only when it is stored.
+blocks, and ``records`` joins both and gives the original records back byte for byte. All of it is
+DataFrame work. Each payload is shuffled once when it is written, to meet the row that stores it, and
+once when records are put together; which records are revisits is settled on digests and ids alone.
 """
 
 from __future__ import annotations
@@ -105,13 +106,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and the exact bytes of each record: header block, payload unless it is a revisit, and the closing line ends."""
+    """page_id, header_bytes and the exact bytes of each record: header block, payload unless it is a revisit, and the closing line ends."""
     parsed = read_archive(spark, path).select("page_id", "record_type", "payload_digest", "header")
     payloads = spark.read.parquet(f"{path}/payloads")
     body = parsed.where("record_type = 'response'").join(payloads, parsed.payload_digest == payloads.digest)
-    end = F.encode(F.lit(CRLF * 2), "UTF-8")
-    return body.select("page_id", F.concat("header", "payload", end).alias("record")).unionByName(
-        parsed.where("record_type = 'revisit'").select("page_id", F.concat("header", end).alias("record"))
+    end, size = F.encode(F.lit(CRLF * 2), "UTF-8"), F.octet_length("header").cast("long").alias("header_bytes")
+    return body.select("page_id", size, F.concat("header", "payload", end).alias("record")).unionByName(
+        parsed.where("record_type = 'revisit'").select("page_id", size, F.concat("header", end).alias("record"))
     )
 
 
@@ -121,10 +122,32 @@ def export_warc(spark: SparkSession, path: str, out: str) -> None:
     body.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(out)
 
 
+def digests(rebuilt: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to, all read from the bytes of ``records``; a revisit's payload is that of the response with its digest."""
+    payload = F.expr("substring(record, int(header_bytes) + 1, octet_length(record) - int(header_bytes) - 4)")
+    rows = rebuilt.select("page_id", F.decode(F.expr("substring(record, 1, int(header_bytes))"), "UTF-8").alias("text"), payload.alias("payload"))
+    rows = rows.select(
+        "page_id",
+        _field("WARC-Type").alias("record_type"),
+        F.regexp_extract(_field("WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
+        F.substring_index(_field("WARC-Payload-Digest"), ":", -1).alias("stated"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+    )
+    rows = materialize(rows, "warc-digests")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    full = rows.where("record_type = 'response'")
+    # one row for each digest that is revisited
+    seen = full.groupBy("payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"))
+    again = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "stated").join(seen, F.col("stated") == F.col("payload_digest"), "left")
+    return full.select(*names).unionByName(again.select(*names))
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages, puts their records together again from the archive and describes these; odd rows as in :func:`write_archive`."""
     path = scratch(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return digests(records(spark, path))
 
 
 OP4_SQL = """
