@@ -2,8 +2,9 @@
 
 1. Texts with equal sets of five-word shingles collapse into one node (its digest), with a weight.
 2. Every node has a MinHash label in each of ``TREES`` prefix tries. Matched prefixes are shortened
-   from the full label until two sets at the threshold meet in some trie with the target recall.
-   Nodes that share such a prefix are sorted next to one another.
+   from the full label until two sets at the threshold meet in some trie with the target recall; that
+   depth follows from the target and the number of tries, so it is the same for all nodes, and only
+   the minima of that prefix are computed. Nodes that share a prefix are sorted next to one another.
 3. A pair is examined in the first trie in which it meets, nowhere else; prefixes with many nodes are
    cut into blocks, and pairs of blocks are tasks of their own. A node whose pairs all met earlier is
    dropped before any shingles move.
@@ -29,6 +30,8 @@ ABOVE, BELOW = 4, 5
 TREES, LABEL, RECALL = 24, 8, 0.9995
 #: Nodes of a prefix that one task compares at most with one another; larger prefixes are cut into blocks of about half as many.
 BLOCK = 2048
+#: Ways in which the rows of one node or group are dealt out where they meet what is known of it.
+SALT = 16
 
 
 def prefix_length(recall: float = RECALL, trees: int = TREES, label: int = LABEL) -> int:
@@ -218,6 +221,12 @@ def _fetch(batches):
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary())], names=["node", "shingles"])
 
 
+def _salted(rows: DataFrame, told: DataFrame, key: str, *by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key`` to ``told``, which has one row a key; rows of a key are dealt out SALT ways by ``by``."""
+    many = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int"))
+    return many.join(told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (node, peer); the root is the least node of the component."""
     e = materialize(edges.where("node <> peer").select(F.greatest("node", "peer").alias("u"), F.least("node", "peer").alias("v")).distinct(), "stars")
@@ -226,9 +235,9 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _salted(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = _salted(large, least, "u", "v")
         e = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
         after = state(e)
         if after == before:
@@ -278,8 +287,8 @@ def join(docs: DataFrame) -> DataFrame:
     told = nodes.select("node", "weight", "least").join(links, "node", "left").join(roots, "node", "left")
     told = told.where("weight > 1 OR links IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     least = told.groupBy("root").agg(F.min("least").alias("class_id"))
-    told = told.join(least, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = sketch.select("doc_id", "node").join(told.withColumn("known", F.lit(True)), "node", "left")
+    told = _salted(told, least, "root", "node").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = _salted(sketch.select("doc_id", "h", "node"), told.withColumn("known", F.lit(True)), "node", "doc_id", "h", how="left")
     return out.select("doc_id", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -290,6 +299,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document; see :func:`join`."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
