@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import duckdb
+
 from tidemark.llm import suffix_dedup as S
 
 
@@ -55,6 +57,12 @@ def test_matches_brute_force(spark, monkeypatch):
         assert got == sorted(brute(rows), key=key)
 
 
+def test_matches_sql(spark, sf):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(map(tuple, S.op3_suffix_dedup(spark, sf).collect())) == sorted(c.execute(S.OP3_SQL).fetchall())
+
+
 def test_hot_anchor_is_dealt_by_window(spark):
     line = "One line that every document has, longer than fifty bytes by some."
     rows = [(i, f"{i * 7919 % 1000003} {line} {i * 104729 % 999983}") for i in range(5000)]

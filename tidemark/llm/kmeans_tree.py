@@ -280,4 +280,5 @@ def _calibrate(rows, dealt, queries, tree: Tree, k: int) -> int:
 
 
 def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose vec_id is divisible by 20; odd rows as in :func:`search`."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)

@@ -505,4 +505,5 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans; odd rows as in :func:`detect`."""
     return detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -8,7 +8,7 @@ from .kmeans_tree import op8_kmeans_tree
 from .packing import op9_packing, op10_token_matrices
 from .pii import op7_pii
 from .quality import op5_quality
-from .suffix_dedup import op3_suffix_dedup
+from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 from .toxicity import op2_toxicity
 from .warc import OP4_SQL, op4_warc_archive
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op10_token_matrices": op10_token_matrices,
 }
 
-ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op6_jaccard_join": OP6_SQL}
+ORACLE_SQL = {"op3_suffix_dedup": OP3_SQL, "op4_warc_archive": OP4_SQL, "op6_jaccard_join": OP6_SQL}

@@ -407,3 +407,20 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What is left of every document's bytes; see :func:`dedup`."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: 50 bytes are 100 hexadecimal digits of the text. Takes 24 s for the 1000 documents at scale 0.01.
+OP3_SQL = r"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS i FROM b)),
+f AS (SELECT w, min(doc_id) AS least FROM s GROUP BY w HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT r, i FROM s JOIN f USING (w) WHERE least < doc_id),
+k AS (SELECT r, i, coalesce(i > lag(i) OVER o + 50, true) AS new FROM m WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY i) AS run FROM k),
+x AS (SELECT r, run, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY r, run),
+y AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM x),
+d AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(z) AS z FROM y JOIN b USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * z + 1), h))) AS kept_sha256
+FROM b LEFT JOIN d USING (r)
+"""
