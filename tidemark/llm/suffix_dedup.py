@@ -170,13 +170,12 @@ def _ask(buckets: int):
         for r in rows_of(batches):
             run = _Run(r, buckets)
             out = {"bucket": [], "run": [], "keys": [], "docs": []}
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(run.cuts)).tolist():
                 i, j = run.cuts[b], run.cuts[b + 1]
-                if j > i:
-                    out["bucket"].append(b)
-                    out["run"].append(r["run"])
-                    out["keys"].append(run.keys[i:j].astype(np.uint32).tobytes())
-                    out["docs"].append(_pack(run.docs[i:j]))
+                out["bucket"].append(b)
+                out["run"].append(r["run"])
+                out["keys"].append(run.keys[i:j].astype(np.uint32).tobytes())
+                out["docs"].append(_pack(run.docs[i:j]))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
 
     return f
@@ -206,10 +205,8 @@ def _front_code(buckets: int):
                 same[1:] = np.minimum(np.where(differ.any(1), differ.argmax(1), 80), np.minimum(length[1:], length[:-1]))
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             out = {"bucket": [], "run": [], "head": [], "ids": [], "rest": []}
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 i, j = cuts[b], cuts[b + 1]
-                if j == i:
-                    continue
                 shared = same[i:j].copy()
                 shared[0] = 0
                 col = np.arange(80)[None]
